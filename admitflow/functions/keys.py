@@ -48,16 +48,11 @@ def run_id() -> Column:
     return F.date_format(F.current_timestamp(), RUN_ID_FORMAT)
 
 
-def note_seq(raw) -> Column:
+def note_seq_of(raw) -> Column:
     """Integer sequence number, -1 when it is missing or unreadable."""
-    return F.coalesce(F.expr(f"try_cast(trim({_sql(raw)}) AS INT)"), F.lit(BAD_NOTE_SEQ))
+    text = F.trim(_col(raw).cast("string"))
+    return F.coalesce(text.try_cast("int"), F.lit(BAD_NOTE_SEQ))
 
 
 def _escape(s: str) -> str:
-    return "".join("\\" + ch if not ch.isalnum() else ch for ch in s)
-
-
-def _sql(c) -> str:
-    if isinstance(c, str):
-        return f"`{c}`"
-    raise TypeError("note_seq expects a column name")
+    return "".join(ch if ch.isalnum() else "\\" + ch for ch in s)

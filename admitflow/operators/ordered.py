@@ -12,12 +12,20 @@ partition count, not the data - gives every partition its global offset.
 Group-relative positions are then the global index minus the group's first
 index (a partially aggregated ``groupBy``), and "next row" is an equi-join on
 ``index + 1``, whose keys are unique.
+
+The range-partitioned, locally numbered table is persisted before it feeds
+both the count table and the final join: range bounds come from sampling,
+so two separate evaluations could cut the ranges differently. Both branches
+read the one cached copy; a lost cached block is recomputed through the same
+shuffle dependency (same partitioner, same bounds), so the offsets stay
+consistent when executors are lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +48,8 @@ def with_global_index(df: DataFrame, order_by: Sequence, name: str = "ix",
     part = F.spark_partition_id()
     s = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
          .withColumn("_p", part)
-         .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(part.cast("long"), 33)))
+         .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(part.cast("long"), 33))
+         .persist(StorageLevel.MEMORY_AND_DISK))
     counts = s.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
@@ -80,7 +89,8 @@ def with_prefix_sums(df: DataFrame, order_by: Sequence, values: Sequence[str],
     """
     n = shuffle_partitions(df.sparkSession)
     order = _cols(order_by)
-    s = df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
+    s = df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     frame_end = Window.currentRow if inclusive else -1
     local = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, frame_end)
     s = s.select("*", *[F.coalesce(F.sum(v).over(local), F.lit(0)).alias("_l_" + v) for v in values])

@@ -94,14 +94,14 @@ _view("note_words", ["notes"], f"""
 SELECT note_id, row_ix,
        list_filter(
          regexp_split_to_array(
-           regexp_replace(lower(regexp_replace(replace(coalesce(text, ''), '___', ' '), '\\n+', '\\n', 'g')),
+           regexp_replace(lower(regexp_replace(replace(coalesce(text, ''), '___', ' '), '\\n+', chr(10), 'g')),
                           '[^{WORD}{WS}]', ' ', 'g'),
            '[{WS}]+'),
-         w -> length(w) > 0 AND NOT list_contains({STOP}, w)) AS words
+         lambda w: length(w) > 0 AND NOT list_contains({STOP}, w)) AS words
 FROM notes""")
 
 _view("note_tokens", ["note_words"], """
-SELECT note_id, row_ix, unnest(list_filter(words, w -> length(w) >= 2)) AS term FROM note_words""")
+SELECT note_id, row_ix, unnest(list_filter(words, lambda w: length(w) >= 2)) AS term FROM note_words""")
 
 _view("doc_terms", ["note_tokens"], """
 SELECT note_id, term, count(*) AS cnt FROM note_tokens GROUP BY note_id, term""")
@@ -138,4 +138,7 @@ def with_views(sql: str, *names: str) -> str:
     for n in names:
         visit(n)
     ctes = ",\n".join(f"{n} AS ({VIEWS[n][1]}\n)" for n in order)
-    return f"WITH {ctes}\n{sql}"
+    body = sql.lstrip()
+    if body[:4].upper() == "WITH":
+        return f"WITH {ctes},\n{body[4:].lstrip()}"
+    return f"WITH {ctes}\n{body}"
