@@ -36,7 +36,7 @@ PROJ_W = [[0.1, 0.2, 0.3, 0.4, -0.1, -0.2, -0.3, -0.4],
           [0.25, 0.25, 0.25, 0.25, 0.25, 0.25, 0.25, 0.25]]
 PROJ_B = [0.0, 0.5, -0.5]
 AFF_MEAN = [25.0, 35000.0, 0.05, 0.04, 1.0, 0.3, 0.3, 0.3]
-AFF_VAR = [150.0, 4.0e8, 0.001, 0.0007, 0.1, 0.2, 0.2, 0.2]
+AFF_VAR = [150.0, 3.9e8, 0.001, 0.0007, 0.1, 0.2, 0.2, 0.2]
 AFF_GAMMA = [1.0, 0.5, 2.0, 1.0, 1.0, 1.5, 1.0, 0.5]
 AFF_BETA = [0.0, 0.1, -0.1, 0.0, 0.2, 0.0, 0.0, -0.2]
 NOISE_STD, NOISE_SEED = 0.05, 7
@@ -371,7 +371,7 @@ def assemble(spark, d):
            .join(per_subject, c.subject == per_subject.subject, "left"))
     return out.select(
         "id", "split",
-        F.when(F.col("split") == "test", F.lit(None)).otherwise(F.col("label")).cast("long").alias("label"),
+        F.when(F.col("split") == "test", F.lit(None)).otherwise(F.col("label")).cast("double").alias("label"),
         big("n_days").alias("n_days"), r6("feat_sum").alias("feat_sum"), "has_note",
         big(F.when(F.col("has_note"), F.col("_nn")).otherwise(F.lit(1))).alias("n_notes"),
         r6(F.when(F.col("has_note"), F.col("_ns")).otherwise(F.lit(0.0))).alias("note_sum"))

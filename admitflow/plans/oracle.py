@@ -221,7 +221,7 @@ Q["assemble"] = with_views(f"""
 WITH feat AS (SELECT id, count(DISTINCT day_idx) AS n_days, sum(value) AS feat_sum FROM scaled_long GROUP BY id),
      subj AS (SELECT n.subject, count(DISTINCT n.note_id) AS nn, sum(z.value) AS ns
               FROM note_z z JOIN notes n USING (note_id) GROUP BY n.subject)
-SELECT c.id, c.split, CAST(CASE WHEN c.split = 'test' THEN NULL ELSE c.label END AS BIGINT) AS label,
+SELECT c.id, c.split, CAST(CASE WHEN c.split = 'test' THEN NULL ELSE c.label END AS DOUBLE) AS label,
        CAST(coalesce(f.n_days, {MISSING_ROWS}) AS BIGINT) AS n_days, round(coalesce(f.feat_sum, 0.0), 6) AS feat_sum,
        c.id IN (SELECT note_id FROM notes) AS has_note,
        CAST(CASE WHEN c.id IN (SELECT note_id FROM notes) THEN s.nn ELSE 1 END AS BIGINT) AS n_notes,
