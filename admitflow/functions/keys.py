@@ -12,6 +12,8 @@ ID_SEPARATOR = "_"
 RUN_ID_FORMAT = "yyyy-MM-dd_HH:mm:ss"
 # Value used when a note's sequence number cannot be read.
 BAD_NOTE_SEQ = -1
+# What counts as an integer sequence number (optional sign, digits only).
+INTEGER_TEXT = r"^[+-]?[0-9]+$"
 # -----------------------------------------------------------------------------
 
 
@@ -51,7 +53,8 @@ def run_id() -> Column:
 def note_seq_of(raw) -> Column:
     """Integer sequence number, -1 when it is missing or unreadable."""
     text = F.trim(_col(raw).cast("string"))
-    return F.coalesce(text.try_cast("int"), F.lit(BAD_NOTE_SEQ))
+    whole = F.when(text.rlike(INTEGER_TEXT), text.try_cast("int"))
+    return F.coalesce(whole, F.lit(BAD_NOTE_SEQ))
 
 
 def _escape(s: str) -> str:

@@ -65,10 +65,19 @@ def standardise(v, mean, std, zero_std: str = "zero") -> Column:
 
 
 def densify(entries, width: int) -> Column:
-    """X11: ``array<struct<ix,value>>`` (sparse row) → dense array of ``width``."""
-    m = F.map_from_entries(_col(entries))
-    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)),
-                       lambda i: F.coalesce(F.element_at(m, i), F.lit(0.0)))
+    """X11: ``array<struct<ix,value>>`` (sparse row) → dense array of ``width``.
+
+    Linear in ``width + nnz``: entries are sorted by index and each one emits
+    the zeros of the gap before it plus its value; the pieces are flattened
+    once and the tail is padded. (A map lookup per position would scan the
+    map each time.)
+    """
+    es = F.array_sort(_col(entries))
+    prev_ix = lambda k: F.when(k == 0, F.lit(-1)).otherwise(F.get(es, k - 1).getField("ix"))
+    pieces = F.transform(es, lambda e, k: F.concat(
+        F.array_repeat(F.lit(0.0), e.getField("ix") - prev_ix(k) - 1), F.array(e.getField("value").cast("double"))))
+    last = F.when(F.size(es) == 0, F.lit(-1)).otherwise(F.get(es, F.size(es) - 1).getField("ix"))
+    return F.concat(F.flatten(pieces), F.array_repeat(F.lit(0.0), F.lit(width - 1) - last))
 
 
 def promote(v) -> Column:

@@ -251,7 +251,7 @@ def vector_concat(spark, d):
 @query
 def clean_text(spark, d):
     """The cleaned text of every note."""
-    return tx.cleaned(fx.notes(spark, d), "text", "clean_text").select("note_id", "clean_text")
+    return tx.cleaned(fx.notes(spark, d), "note_id", "text", "clean_text").select("note_id", "clean_text")
 
 
 @query

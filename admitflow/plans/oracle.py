@@ -183,7 +183,9 @@ SELECT n.note_id, CAST(1024 AS BIGINT) AS width, CAST(count(t.term_ix) AS BIGINT
 FROM notes n LEFT JOIN tfidf t USING (note_id) GROUP BY n.note_id""", "notes", "tfidf")
 
 Q["note_labels"] = with_views("""
-SELECT note_id, subject, hadm, CAST(coalesce(TRY_CAST(trim(CAST(note_seq AS VARCHAR)) AS INTEGER), -1) AS BIGINT)
+SELECT note_id, subject, hadm,
+       CAST(CASE WHEN regexp_full_match(trim(CAST(note_seq AS VARCHAR)), '[+-]?[0-9]+')
+                 THEN coalesce(TRY_CAST(trim(CAST(note_seq AS VARCHAR)) AS INTEGER), -1) ELSE -1 END AS BIGINT)
        AS note_seq FROM notes""", "notes")
 
 _ORDER = """

@@ -25,7 +25,9 @@ def build_session(master: str | None = None, app: str = "admitflow",
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # Local runs: shuffle partitions = cores, so keep them all (coalescing
+        # small shuffles would serialise CPU-heavy text work onto one core).
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
