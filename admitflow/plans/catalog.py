@@ -69,14 +69,15 @@ def _curated(spark, d, split: str) -> DataFrame:
     return labels.curate(fx.split_labels(spark, d, split))
 
 
-def _train_stats(spark, d) -> DataFrame:
-    days = fx.day_rows(spark, d)
+def _train_stats(spark, d, days: DataFrame | None = None) -> DataFrame:
+    days = fx.day_rows(spark, d) if days is None else days
     train_days = days.join(_curated(spark, d, "train").select("id"), "id", "left_semi")
     return seq.fit_scaler(train_days, "features", ddof=0)
 
 
 def _scaled_days(spark, d) -> DataFrame:
-    return seq.standardise(fx.day_rows(spark, d), _train_stats(spark, d), "features", zero_std="one")
+    days = fx.day_rows(spark, d)
+    return seq.standardise(days, _train_stats(spark, d, days), "features", zero_std="one")
 
 
 def _tfidf(spark, d):
