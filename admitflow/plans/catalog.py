@@ -19,6 +19,7 @@ from admitflow.operators import sequences as seq
 from admitflow.operators import text as tx
 from admitflow.operators.embedding import pending, token_mean
 from admitflow.plans import fixtures as fx
+from admitflow.session import cut_lineage
 from admitflow.sources.tables import read_table
 
 # --- fixed parameters of the registered queries ------------------------------
@@ -510,6 +511,8 @@ def _model_rows(spark, d) -> tuple[DataFrame, DataFrame]:
             .select("id", "split", "label",
                     V.concat(F.coalesce(F.col("features"), V.zeros(DAY_WIDTH)),
                              F.array(F.log1p(F.col("n_notes").cast("double")))).alias("features")))
+    # fit and scoring both read these rows: checkpoint them once (shared folder)
+    rows = cut_lineage(rows)
     return rows.filter(F.col("split") != "test"), rows.filter(F.col("split") == "test")
 
 
