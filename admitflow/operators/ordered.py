@@ -1,5 +1,5 @@
 """Skew-safe ordered operators: global row index, rank within a group, next
-row within a group, distributed prefix sums.
+row within a group.
 
 A window partitioned by a key sends the whole key to one task; a key that
 holds a third of the rows then becomes a straggler. Here the data is instead
@@ -77,28 +77,3 @@ def with_next_within(df: DataFrame, group_by: Sequence[str], order_by: Sequence,
     following = indexed.select(*group_by, (F.col("_nix") - 1).alias("_nix"),
                                *[F.col(c).alias(prefix + c) for c in columns])
     return indexed.join(following, [*group_by, "_nix"], "left").drop("_nix")
-
-
-def with_prefix_sums(df: DataFrame, order_by: Sequence, values: Sequence[str],
-                     prefix: str = "cum_", inclusive: bool = False) -> DataFrame:
-    """Running sums of ``values`` along ``order_by`` over the whole table.
-
-    Rows are range-partitioned; a window *inside* each range partition gives
-    local sums and the per-partition totals (bounded by the partition count)
-    give the offsets. ``inclusive=False`` sums strictly earlier rows.
-    """
-    n = shuffle_partitions(df.sparkSession)
-    order = _cols(order_by)
-    s = df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    frame_end = Window.currentRow if inclusive else -1
-    local = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, frame_end)
-    s = s.select("*", *[F.coalesce(F.sum(v).over(local), F.lit(0)).alias("_l_" + v) for v in values])
-    totals = s.groupBy("_p").agg(*[F.sum(v).alias("_t_" + v) for v in values])
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_p", *[F.coalesce(F.sum("_t_" + v).over(before), F.lit(0)).alias("_o_" + v)
-                                    for v in values])
-    out = s.join(F.broadcast(offsets), "_p")
-    for v in values:
-        out = out.withColumn(prefix + v, F.col("_o_" + v) + F.col("_l_" + v)).drop("_o_" + v, "_l_" + v)
-    return out.drop("_p")

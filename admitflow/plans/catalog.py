@@ -521,7 +521,7 @@ def select_features(spark, d):
     """M1 + A15 + T2: forest importances on pooled 64-wide rows, top 32."""
     days = fx.day_rows_64(spark, d)
     lab = _curated(spark, d, "train")
-    sel = selection.select_features(lab, days, SELECT_K, trees=20, seed=42, max_depth=5)
+    sel = selection.select_features(lab, days, SELECT_K, trees=100, seed=42, max_depth=10)
     return sel.select(big("rank").alias("rank"), big("feature_ix").alias("feature_ix"),
                       r6("importance").alias("importance"))
 
