@@ -41,11 +41,11 @@ def fit_scaler(df: DataFrame, vec: str = "features", ddof: int = 0) -> DataFrame
 
 def standardise(df: DataFrame, stats: DataFrame, vec: str = "features", out: str | None = None,
                 zero_std: str = "one") -> DataFrame:
-    """J7 + X15: (x - mean) / std with the one-row statistics as scalar
-    subqueries (planned once, no join)."""
-    bound = df.withColumn("_mean", stats.select("mean").scalar()).withColumn("_std", stats.select("std").scalar())
-    return bound.withColumn(out or vec, V.standardise(F.col(vec), F.col("_mean"), F.col("_std"), zero_std)) \
-        .drop("_mean", "_std")
+    """J7 + X15: (x - mean) / std with the one-row statistics as one scalar
+    subquery (evaluated once, no join, no cross product)."""
+    bound = df.withColumn("_st", stats.select(F.struct("mean", "std")).scalar())
+    return bound.withColumn(out or vec, V.standardise(F.col(vec), F.col("_st.mean"), F.col("_st.std"), zero_std)) \
+        .drop("_st")
 
 
 def slice_features(df: DataFrame, indices: Sequence[int] | Column, k: int, vec: str = "features",
