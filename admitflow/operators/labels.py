@@ -11,25 +11,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _summary(df: DataFrame, key: str, label: str, order: str) -> DataFrame:
+def _summary(df: DataFrame, key: str, label: str, order: str, by=()) -> DataFrame:
     lab = F.col(label)
-    return df.groupBy(key).agg(
+    return df.groupBy(*by, key).agg(
         F.countDistinct(lab).alias("n_labels"),                      # A2: nulls ignored
         F.max(lab).alias(label),
         F.min(F.when(lab.isNotNull(), F.col(order))).alias(order))    # W8: first row kept
 
 
-def conflicts(df: DataFrame, key: str = "id", label: str = "label", order: str = "row_ix") -> DataFrame:
-    """A18 + P5: ids with more than one distinct non-null label."""
-    return (_summary(df, key, label, order).filter(F.col("n_labels") > 1)
-            .select(key, F.col("n_labels").cast("long").alias("n_labels")))
+def conflicts(df: DataFrame, key: str = "id", label: str = "label", order: str = "row_ix",
+              by=()) -> DataFrame:
+    """A18 + P5: ids with more than one distinct non-null label (per ``by``
+    group, e.g. per label file, in one aggregation)."""
+    return (_summary(df, key, label, order, by).filter(F.col("n_labels") > 1)
+            .select(*by, key, F.col("n_labels").cast("long").alias("n_labels")))
 
 
-def curate(df: DataFrame, key: str = "id", label: str = "label", order: str = "row_ix") -> DataFrame:
+def curate(df: DataFrame, key: str = "id", label: str = "label", order: str = "row_ix",
+           by=()) -> DataFrame:
     """A1 + J1 + Q3: distinct (id, label), conflicting ids removed, null
-    labels dropped; ``order`` keeps the first occurrence."""
-    return (_summary(df, key, label, order).filter(F.col("n_labels") == 1)
-            .select(key, label, order))
+    labels dropped; ``order`` keeps the first occurrence. ``by`` curates
+    several label files at once."""
+    return (_summary(df, key, label, order, by).filter(F.col("n_labels") == 1)
+            .select(*by, key, label, order))
 
 
 def distinct_ids(df: DataFrame, key: str = "id", order: str = "row_ix") -> DataFrame:

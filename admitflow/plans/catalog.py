@@ -107,17 +107,15 @@ def _test_ids(spark, d) -> DataFrame:
 @query
 def label_conflicts(spark, d):
     """Ids of a label file with more than one distinct label."""
-    parts = [labels.conflicts(fx.split_labels(spark, d, s)).select(F.lit(s).alias("split"), "id", "n_labels")
-             for s in ("train", "valid")]
-    return parts[0].unionByName(parts[1])
+    files = fx.label_rows(spark, d).filter(F.col("split").isin("train", "valid"))
+    return labels.conflicts(files, by=["split"])
 
 
 @query
 def clean_labels(spark, d):
     """Distinct labels per id, conflicts removed, first row kept."""
-    parts = [_curated(spark, d, s).select(F.lit(s).alias("split"), "id", big("label").alias("label"), "row_ix")
-             for s in ("train", "valid")]
-    return parts[0].unionByName(parts[1])
+    files = fx.label_rows(spark, d).filter(F.col("split").isin("train", "valid"))
+    return labels.curate(files, by=["split"]).select("split", "id", big("label").alias("label"), "row_ix")
 
 
 @query
