@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from admitflow.session import shuffle_partitions
 
-K, WINDOW, TOKEN_CHARS = 3, 8, 12
+K, WINDOW, TOKEN_CHARS = 3, 4, 12
 _POSITIONS = 1 << 32
 
 
