@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from admitflow.llm import fingerprints, line_dedup, packing, sharding
+from admitflow.llm import fingerprints, line_dedup, packing, sharding, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SHARDS = 40
@@ -35,6 +35,13 @@ def op1_packing(spark, sf_dir):
                          "sequence_id", "offset", "n_loss")
 
 
+@query
+def op2_substring_dedup(spark, sf_dir):
+    """Words of 13-word windows that an earlier document holds are removed."""
+    rows = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", sha256("kept_text").alias("kept_sha256"))
+
+
 @query
 def op3_sharding(spark, sf_dir):
     """Uniform shuffle of all documents into 40 shards, row counts at most one apart."""

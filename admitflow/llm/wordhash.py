@@ -154,3 +154,22 @@ def windows_in_rows(w: Words, n: int) -> np.ndarray:
     if len(w) < n:
         return np.zeros(0, np.int64)
     return np.flatnonzero(w.row[: len(w) - n + 1] == w.row[n - 1:])
+
+
+def join_words(w: Words, keep: np.ndarray) -> pa.Array:
+    """The kept words of each row joined by one space, as a string column."""
+    kept = np.flatnonzero(keep)
+    size = w.end[kept] - w.start[kept] + 1
+    ends_row = np.ones(len(kept), dtype=bool)
+    ends_row[:-1] = w.row[kept[1:]] != w.row[kept[:-1]]
+    size[ends_row] -= 1
+    stop = np.cumsum(size)
+    total = int(stop[-1]) if len(stop) else 0
+    at = np.arange(total) + np.repeat(w.start[kept] - (stop - size), size)
+    out = np.append(w.data, np.uint8(0x20))[at]
+    out[stop[~ends_row] - 1] = 0x20
+    rows = len(w.first) - 1
+    offsets = np.zeros(rows + 1, dtype=np.int64)
+    np.add.at(offsets, w.row[kept] + 1, size)
+    offsets = np.cumsum(offsets)
+    return pa.LargeStringArray.from_buffers(rows, pa.py_buffer(offsets), pa.py_buffer(out)).cast(pa.string())
