@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from admitflow.llm import fingerprints, line_dedup, packing, sharding, substring_dedup
+from admitflow.llm import decontamination, fingerprints, line_dedup, packing, sharding, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SHARDS = 40
@@ -69,3 +69,13 @@ def op7_line_dedup(spark, sf_dir):
     """Lines held by several documents stay in the smallest doc_id alone."""
     rows = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_lines", "n_dropped", sha256("kept_text").alias("kept_sha256"))
+
+
+@query
+def op8_decontamination(spark, sf_dir):
+    """Words of documents inside windows of benchmark items."""
+    rows = decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    ids = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    return rows.select("doc_id", "n_words", F.size("hit_words").cast("long").alias("n_hit"),
+                       F.size("items").cast("long").alias("n_items"), sha256(F.array_join(ids, ",")).alias("items_sha256"),
+                       (F.size("hit_words") > 0).alias("contaminated"))
