@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from admitflow.llm import decontamination, fingerprints, line_dedup, packing, sharding, substring_dedup
+from admitflow.llm import decontamination, fingerprints, line_dedup, packing, quality, samples, sharding, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SHARDS = 40
@@ -52,6 +52,15 @@ def op3_sharding(spark, sf_dir):
                          "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op5_toxicity(spark, sf_dir):
+    """Toxicity of every document, learned outside the held-out third."""
+    docs, held_out = table(spark, sf_dir, "documents"), samples.fold(F.col("doc_id"), 3) == 1
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), train_on=samples.fold(F.col("id"), 3) != 1)
+    rows = toxicity.score_documents(docs, model)
+    return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 @query
 def op6_fingerprints(spark, sf_dir):
     """Winnowed fingerprints of every text, its edited text and the next text."""
@@ -79,3 +88,12 @@ def op8_decontamination(spark, sf_dir):
     return rows.select("doc_id", "n_words", F.size("hit_words").cast("long").alias("n_hit"),
                        F.size("items").cast("long").alias("n_items"), sha256(F.array_join(ids, ",")).alias("items_sha256"),
                        (F.size("hit_words") > 0).alias("contaminated"))
+
+
+@query
+def op9_quality(spark, sf_dir):
+    """Quality of every document, learned outside the held-out fifth."""
+    docs, held_out = table(spark, sf_dir, "documents"), samples.fold(F.col("doc_id"), 5) == 0
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), train_on=samples.fold(F.col("id"), 5) != 0)
+    rows = quality.score_documents(docs.select("doc_id", "text"), model)
+    return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
