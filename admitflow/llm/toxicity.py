@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from admitflow.llm import samples
 from admitflow.llm import wordhash as wh
 
-LIMIT, FEATURES, LEAST_DOCS, MODELS, SEED = 6000, 4096, 5, 3, 23
-EPOCHS, BATCH, RATE, DECAY, SLACK = 40, 256, 0.02, 2e-4, 0.0
+LIMIT, FEATURES, LEAST_DOCS, MODELS, SEED = 6000, 2048, 5, 3, 23
+EPOCHS, BATCH, RATE, DECAY, SLACK = 60, 256, 0.1, 1e-5, 0.0
 BEGINNINGS = (4, 5, 6)
 
 
