@@ -51,9 +51,10 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ranged = lines.repartitionByRange(n, "a", "b", "salt").sortWithinPartitions("a", "b", "salt", "doc", "pos")
     scan = Window.partitionBy("a", "b", "salt").orderBy("doc", "pos")
     streamed = ranged.withColumn("first", F.first("doc").over(scan))
-    firsts = streamed.groupBy("a", "b").agg(F.min("first").alias("first"), F.max("doc").alias("last"))
-    firsts = firsts.filter("first < last").drop("last")
-    dropped = lines.join(firsts, ["a", "b"]).filter("doc > first")
+    firsts = streamed.groupBy("a", "b").agg(
+        F.min("first").alias("first"), F.max("doc").alias("last"), F.collect_set("salt").alias("salts"))
+    firsts = firsts.filter("first < last").select("a", "b", "first", F.explode("salts").alias("salt"))
+    dropped = lines.join(firsts, ["a", "b", "salt"]).filter("doc > first")
     by_doc = dropped.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
     return by_doc.select("doc", "text_hash", F.size("gone").cast("long").alias("n_dropped"), run_lengths(F.col("gone")).alias("runs"))
 
