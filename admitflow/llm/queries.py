@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from admitflow.llm import decontamination, fingerprints, line_dedup, packing, quality, samples, sharding, substring_dedup, toxicity
+from admitflow.llm import decontamination, fingerprints, html_extract, line_dedup, packing, quality, samples, sharding, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SHARDS = 40
@@ -97,3 +97,11 @@ def op9_quality(spark, sf_dir):
     model = quality.fit(docs, table(spark, sf_dir, "labels"), train_on=samples.fold(F.col("id"), 5) != 0)
     rows = quality.score_documents(docs.select("doc_id", "text"), model)
     return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op10_html_extraction(spark, sf_dir):
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    rows = html_extract.extract(pages, html_extract.fit(pages))
+    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
