@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from admitflow.llm import decontamination, fingerprints, html_extract, line_dedup, packing, quality, samples, sharding, substring_dedup, toxicity
+from admitflow.llm import decontamination, fingerprints, html_extract, jaccard_join, line_dedup, packing, quality, samples, sharding, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SHARDS = 40
@@ -52,6 +52,12 @@ def op3_sharding(spark, sf_dir):
                          "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op4_jaccard_join(spark, sf_dir):
+    """Components of documents whose 5-word shingles have a similarity of 0.8."""
+    return jaccard_join.link_documents(table(spark, sf_dir, "documents"))[0]
+
+
 @query
 def op5_toxicity(spark, sf_dir):
     """Toxicity of every document, learned outside the held-out third."""
