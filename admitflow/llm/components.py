@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from admitflow.session import cut_lineage
+
 
 def _state(links: DataFrame) -> tuple:
     r = links.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
@@ -20,7 +22,8 @@ def _state(links: DataFrame) -> tuple:
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """``node, component`` of every linked node; the component is named by its
     smallest node."""
-    e = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct().checkpoint()
+    e = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct()
+    e = cut_lineage(e)
     state = _state(e)
     while state[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -28,7 +31,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = hung.unionByName(low.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+        e = cut_lineage(hung.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         before, state = state, _state(e)
         if state == before:
             break

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from admitflow.llm import wordhash as wh
 from admitflow.llm.components import components
+from admitflow.session import cut_lineage
 
 NGRAM, PERCENT = 5, 80
 FREQUENT, LEAST_COUNT = 1 << 18, 16      # frequent shingles of the order
@@ -100,7 +101,7 @@ def _first_pass(rows: DataFrame, n: int) -> DataFrame:
             yield pa.record_batch({"kind": pa.array(np.ones(len(key), np.int32)), "a": pa.array(key.view(np.int64)),
                                    "b": pa.array(count.astype(np.int64)), "c": pa.nulls(len(key), pa.int64())})
 
-    return rows.mapInArrow(run, "kind int, a long, b long, c long").checkpoint()
+    return cut_lineage(rows.mapInArrow(run, "kind int, a long, b long, c long"))
 
 
 def _frequent(first: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +179,7 @@ def _entries(prefixes: DataFrame, percent: int) -> DataFrame:
         return pa.table({"kind": pa.array(np.repeat([0, 1], [len(token), k]), pa.int32()), "x": join(token, both[:, 0]),
                          "y": join(cls, both[:, 1]), "n": join(n, np.zeros(k, np.int64)), "pos": join(pos, np.zeros(k, np.int64))})
 
-    return prefixes.groupBy("bucket").applyInArrow(run, "kind int, x long, y long, n long, pos long").checkpoint()
+    return cut_lineage(prefixes.groupBy("bucket").applyInArrow(run, "kind int, x long, y long, n long, pos long"))
 
 
 def _bloom_places(cls):
@@ -231,7 +232,7 @@ def _sets(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     found = rows.mapInArrow(classes, "cls long, members binary")
     found = found.select("cls", "members", _bloom_places(F.col("cls")).alias("at")).mapInArrow(likely, "cls long, members binary")
     found = found.join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
-    return found.mapInArrow(signed, "cls long, n long, members binary, sig array<long>").checkpoint()
+    return cut_lineage(found.mapInArrow(signed, "cls long, n long, members binary, sig array<long>"))
 
 
 def _suffix_filter(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -257,7 +258,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     side = lambda k: sets.select(F.col("cls").alias(k), F.col("members").alias(f"m{k}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ma", "mb")
-    return joined.mapInArrow(run, "a long, b long, link boolean").checkpoint()
+    return cut_lineage(joined.mapInArrow(run, "a long, b long, link boolean"))
 
 
 def _open_pairs(entries: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, every: bool, buckets: int) -> DataFrame:

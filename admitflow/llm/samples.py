@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from admitflow.session import cut_lineage
+
 
 def fold(id_col: Column, folds: int) -> Column:
     """crc32 of the id written as text, modulo ``folds``."""
@@ -28,4 +30,4 @@ def texts_of(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) ->
     limit, so it is broadcast; the texts are cut off from the scan."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     found = own.join(F.broadcast(sample), "id").groupBy(*sample.columns).agg(F.min("text").alias("text"))
-    return found.checkpoint()
+    return cut_lineage(found)
