@@ -55,7 +55,7 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 def spans(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets present in a sorted array of hashes, and where their runs lie."""
     found, first = np.unique(bucket_of(keys, buckets), return_index=True)
-    return found, first, np.append(first[1:], len(keys))
+    return found, first, np.append(first[1:], len(keys))[:len(first)]
 
 
 def send(block: int, buckets: int, keys: np.ndarray, extra: np.ndarray | None = None,

@@ -136,7 +136,7 @@ def _prefixes(rows: DataFrame, n: int, percent: int, frequent, buckets: int) ->
             bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             found, lo = np.unique(bucket[order], return_index=True)
-            hi = np.append(lo[1:], len(order))
+            hi = np.append(lo[1:], len(order))[:len(lo)]
             cut = lambda a: pa.array([a[order[i:j]].tobytes() for i, j in zip(lo, hi, strict=True)], pa.binary())
             yield pa.record_batch({"bucket": pa.array(found, pa.int32()), "token": cut(key), "cls": cut(s.cls[row]),
                                    "n": cut(size.astype(np.uint32)), "pos": cut(pos.astype(np.uint32))})
