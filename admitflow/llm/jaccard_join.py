@@ -8,9 +8,10 @@ Two documents link when 100 * |x & y| >= 80 * |x | y| over their sets of
    class from here on. The most frequent shingles (FREQUENT at most) make the
    order rare-first; the order only has to be the same for all documents, so
    that bound changes the work and never the result.
-2. The prefix of a set, its ``|x| - ceil(0.8 |x|) + 1`` rarest shingles, is sent
-   to hash buckets. Similar sets share a prefix shingle; entries without a
-   partner of fitting length go no further.
+2. The prefix of a set, its ``|x| - ceil(0.8 |x|) + L(x)`` rarest shingles with
+   L(x) = max(1, |x| // 20), is sent to hash buckets. Similar sets share
+   min(L(x), L(y)) prefix shingles at least. Entries without a partner of
+   fitting length go no further, nor do sets with too few entries left.
 3. Pairs of neighbours in a bucket that pass the length and positional filters
    are made unique, pass the suffix filter (parities over 256 hash ranges, a
    lower bound of the symmetric difference) and are verified on whole sets.
@@ -46,6 +47,11 @@ SIGNATURE = 4                            # 64-bit words of parities
 PARTNERS, NEAR = 4, 64                   # partners of an entry, and how far they may stand, before the last round
 
 
+def extra_prefix(n):
+    """L: shingles that the prefixes of similar sets of about this size share."""
+    return np.maximum(1, n // 20)
+
+
 def least_overlap(a, b, percent: int = PERCENT):
     """Smallest intersection of similar sets of sizes a and b."""
     return -(-(percent * (a + b)) // (100 + percent))
@@ -131,7 +137,7 @@ def _prefixes(rows: DataFrame, n: int, percent: int, frequent, buckets: int) ->
             row, key = row[order], key[order]
             pos = np.arange(len(row)) - np.searchsorted(row, row)
             size = s.size[row]
-            front = pos <= size - -(-percent * size // 100)
+            front = pos < size - -(-percent * size // 100) + extra_prefix(size)
             row, key, pos, size = row[front], key[front], pos[front], size[front]
             bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
@@ -316,7 +322,11 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = _entries(_prefixes(rows, ngram, percent, _frequent(first), buckets), percent)
     entries = found.filter("kind = 0").select(F.col("x").alias("token"), F.col("y").alias("cls"), "n", "pos")
     info = first.filter("kind = 0").select(F.col("a").alias("doc"), F.col("b").alias("n_shingles"), F.col("c").alias("cls"))
-    sets = _sets(rows, entries.select("cls").distinct(), ngram)
+    # a partner may be smaller: ceil(0.8 n) shingles at least
+    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / 20))
+    wanted = entries.groupBy("cls").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n")).filter(F.col("k") >= least).select("cls")
+    sets = _sets(rows, wanted, ngram)
+    entries = entries.join(sets.select("cls"), "cls", "left_semi")
     pairs = found.filter("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
     tested = _verify(_suffix_filter(pairs, sets, percent), sets, percent)
     for every in (False, True):
