@@ -53,7 +53,7 @@ def run_id() -> Column:
 def note_seq_of(raw) -> Column:
     """Integer sequence number, -1 when it is missing or unreadable."""
     text = F.trim(_col(raw).cast("string"))
-    whole = F.when(text.rlike(INTEGER_TEXT), text.try_cast("int"))
+    whole = F.when(text.rlike(INTEGER_TEXT), text.try_cast("bigint"))
     return F.coalesce(whole, F.lit(BAD_NOTE_SEQ))
 
 

@@ -51,8 +51,9 @@ def pad(df: DataFrame, seq: str, max_len: str, width: int, out: str | None = Non
     return df.withColumn(out or seq, V.pad_rows(F.col(seq), F.col(max_len), width))
 
 
-def padding_steps(df: DataFrame, key: str, length: str, max_len: str, pos: str = "pos") -> DataFrame:
+def padding_steps(df: DataFrame, key, length: str, max_len: str, pos: str = "pos") -> DataFrame:
     """X19 in long form: the zero rows a sequence receives, one per padded
     position ``length .. max_len-1``."""
     padded = df.filter(F.col(max_len) > F.col(length))
-    return padded.select(key, F.explode(F.sequence(F.col(length), F.col(max_len) - 1)).alias(pos))
+    keys = [key] if isinstance(key, str) else list(key)
+    return padded.select(*keys, F.explode(F.sequence(F.col(length), F.col(max_len) - 1)).alias(pos))

@@ -18,13 +18,21 @@ from admitflow.operators.ordered import with_rank_within
 
 
 def note_labels(notes: DataFrame) -> DataFrame:
-    """M7 + S6: ``(note_id, subject, hadm, note_seq)``; an unreadable
-    sequence number becomes -1."""
+    """M7 + S6: the label store ``(note_id, subject, hadm, note_seq)``; an
+    unreadable sequence number becomes -1."""
     return notes.select(
         "note_id", F.col("subject").cast("string").alias("subject"), F.col("hadm").cast("string").alias("hadm"),
         K.note_seq_of(F.col("note_seq")).alias("note_seq"))
 
 
+def with_labels(notes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Notes left-joined to the label store; a note without a label row has
+    sequence number -1, and of several rows of one note the largest counts."""
+    one = labels.groupBy("note_id").agg(F.max("note_seq").alias("note_seq"))
+    return notes.drop("note_seq").join(one, "note_id", "left").withColumn(
+        "note_seq", F.coalesce("note_seq", F.lit(K.BAD_NOTE_SEQ)).cast("long"))
+
+
 def note_order(labels: DataFrame) -> DataFrame:
     """W1 + T1 + F2: 0-based position of a note inside its subject, by
     ``note_seq`` and then ``note_id`` (a stable, reproducible tie rule)."""
@@ -41,25 +49,26 @@ def related_subjects(ids: DataFrame, notes: DataFrame, key: str = "id") -> DataF
             .select(key, "subject", F.coalesce("n_notes", F.lit(0)).cast("long").alias("n_notes")))
 
 
-def related_contains(subjects: DataFrame, notes: DataFrame, subject: str = "subject") -> DataFrame:
+def related_contains(subjects: DataFrame, notes: DataFrame, subject: str = "subject", splits: int = 16) -> DataFrame:
     """J4 + X13: every (subject, note_id) where the note id contains the
     subject string - the reference's substring rule.
 
     Exact and hash-joinable: each note id is expanded into its distinct
-    substrings (at most L(L+1)/2 per id, L = id length, so linear in the
-    number of notes), which are equi-joined to the subject keys. No nested
-    loop, no cross product.
+    substrings, only of lengths that occur among the subjects (a small set, read
+    as one value), which are equi-joined to the subject keys. Keys are repeated
+    ``splits`` times and notes spread over the copies, as a short subject occurs
+    in very many ids. No nested loop, no cross product.
     """
     nid = F.col("note_id")
     n = F.length(nid)
-    subs = notes.select("note_id").distinct().select(
-        "note_id",
-        F.explode(F.array_distinct(F.flatten(F.transform(
-            F.sequence(F.lit(1), n),
-            lambda start: F.transform(F.sequence(start, n),
-                                      lambda end: F.substring(nid, start, end - start + 1)))))).alias("_s"))
     keys = subjects.select(F.col(subject).alias("_s")).distinct()
-    return subs.join(keys, "_s").select(F.col("_s").alias("subject"), "note_id")
+    lengths = F.coalesce(keys.agg(F.collect_set(F.length("_s"))).scalar(), F.array().cast("array<int>"))
+    found = F.flatten(F.transform("_lengths", lambda k: F.when(k <= n, F.transform(
+        F.sequence(F.lit(1), n - k + 1), lambda start: F.substring(nid, start, k))).otherwise(F.array().cast("array<string>"))))
+    subs = notes.select("note_id").distinct().withColumn("_lengths", lengths).select(
+        "note_id", F.pmod(F.xxhash64("note_id"), F.lit(splits)).cast("int").alias("_split"), F.explode(F.array_distinct(found)).alias("_s"))
+    keys = keys.select("_s", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("_split"))
+    return subs.join(keys, ["_s", "_split"]).select(F.col("_s").alias("subject"), "note_id")
 
 
 def gate(ids: DataFrame, notes: DataFrame, key: str = "id") -> DataFrame:

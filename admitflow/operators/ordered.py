@@ -1,79 +1,85 @@
-"""Skew-safe ordered operators: global row index, rank within a group, next
-row within a group.
+"""Skew-safe ordered operators: running sums, global row index, rank within a
+group, next row within a group.
 
 A window partitioned by a key sends the whole key to one task; a key that
-holds a third of the rows then becomes a straggler. Here the data is instead
-range-partitioned on the full ordering (group columns + order columns + a
-unique tie-breaker), so a hot group is spread over many partitions. Each
-partition numbers its own rows (``monotonically_increasing_id`` keeps the
-record number in the low 33 bits), and a table of per-partition row counts -
-at most one row per shuffle partition, so its size is bounded by the
-partition count, not the data - gives every partition its global offset.
-Group-relative positions are then the global index minus the group's first
-index (a partially aggregated ``groupBy``), and "next row" is an equi-join on
-``index + 1``, whose keys are unique.
-
-The range-partitioned, locally numbered table is persisted before it feeds
-both the count table and the final join: range bounds come from sampling,
-so two separate evaluations could cut the ranges differently. Both branches
-read the one cached copy; a lost cached block is recomputed through the same
-shuffle dependency (same partitioner, same bounds), so the offsets stay
-consistent when executors are lost.
+holds a third of the rows then becomes a straggler. Here the rows are
+range-partitioned on the full ordering (group columns, order columns, a unique
+tie-breaker), so a hot group lies in many partitions. Sums run inside each
+(partition, group) part; a small table of part totals - one row per part, and a
+group has a part per partition at most - gives each part what came before it,
+and is joined on (partition, group), never on the bare group. "Next row" is an
+equi-join on ``index + 1``, whose keys are unique.
+
+Range bounds come from sampling, so the range-partitioned rows are checkpointed
+before they are read twice. Give ``key`` (unique columns) to order the keys
+alone: only group, order and key columns are then moved and stored, and the
+result joins back to the payload.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from admitflow.session import shuffle_partitions
+from admitflow.session import cut_lineage, shuffle_partitions
 
 
 def _cols(cs) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cs]
 
 
-def with_global_index(df: DataFrame, order_by: Sequence, name: str = "ix",
+def with_running_sums(df: DataFrame, group_by: Sequence[str], order_by: Sequence, sums: dict[str, Column],
                       num_partitions: int | None = None) -> DataFrame:
+    """Add, per name in ``sums``, the sum over the rows of the same group that
+    come before the row (0 for the first). ``order_by`` should be a total order
+    inside a group; ties get an arbitrary order."""
+    n = num_partitions or shuffle_partitions(df.sparkSession)
+    group, order = list(group_by), _cols(order_by)
+    df = df.withColumns({f"_o{i}": c for i, c in enumerate(order)} | {f"_v_{k}": v for k, v in sums.items()})
+    by = [f"_o{i}" for i in range(len(order))]
+    s = cut_lineage(df.repartitionByRange(n, *group, *by).withColumn("_p", F.spark_partition_id()))
+    parts = s.groupBy("_p", *group).agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums])
+    earlier = Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_p", *group, *[F.coalesce(F.sum(f"_t_{k}").over(earlier), F.lit(0)).alias(f"_b_{k}") for k in sums])
+    inside = Window.partitionBy("_p", *group).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumns({f"_r_{k}": F.coalesce(F.sum(f"_v_{k}").over(inside), F.lit(0)) for k in sums})
+    if group:  # null groups are groups too
+        parts = parts.withColumnsRenamed({c: f"_g{i}" for i, c in enumerate(["_p", *group])})
+        on = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(["_p", *group])]
+        joined = s.join(parts, on).drop(*[f"_g{i}" for i in range(len(on))])
+    else:  # one row per partition: as many as shuffle partitions
+        joined = s.join(F.broadcast(parts), "_p")
+    return joined.withColumns({k: F.col(f"_b_{k}") + F.col(f"_r_{k}") for k in sums}).drop(
+        "_p", *by, *[f"_{x}_{k}" for x in "vbr" for k in sums])
+
+
+def with_rank_within(df: DataFrame, group_by: Sequence[str], order_by: Sequence, name: str = "pos", base: int = 0,
+                     key: Sequence[str] | None = None) -> DataFrame:
+    """Position of each row inside its group (``row_number() - 1 + base``)."""
+    if key is None:
+        ranked = with_running_sums(df, group_by, order_by, {name: F.lit(1).cast("long")})
+        return ranked.withColumn(name, F.col(name) + F.lit(base))
+    order = {f"_k{i}": c for i, c in enumerate(_cols(order_by))}
+    keys = df.withColumns(order).select(*dict.fromkeys([*group_by, *key, *order]))
+    ranked = with_rank_within(keys, group_by, list(order), name, base).select(*key, name)
+    return df.join(ranked, list(key))
+
+
+def with_global_index(df: DataFrame, order_by: Sequence, name: str = "ix", num_partitions: int | None = None) -> DataFrame:
     """Add a 0-based index that follows ``order_by`` over the whole table.
 
     ``order_by`` should be a total order (end with a unique column); ties get
     distinct, arbitrary positions.
     """
-    n = num_partitions or shuffle_partitions(df.sparkSession)
-    order = _cols(order_by)
-    part = F.spark_partition_id()
-    s = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-         .withColumn("_p", part)
-         .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(part.cast("long"), 33))
-         .persist(StorageLevel.MEMORY_AND_DISK))
-    counts = s.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return (s.join(F.broadcast(offsets), "_p")
-            .withColumn(name, (F.col("_off") + F.col("_local")).cast("long"))
-            .drop("_p", "_local", "_off"))
-
-
-def with_rank_within(df: DataFrame, group_by: Sequence[str], order_by: Sequence,
-                     name: str = "pos", base: int = 0, keep_index: str | None = None) -> DataFrame:
-    """Position of each row inside its group (``row_number() - 1 + base``)."""
-    ix = "_gix" if keep_index is None else keep_index
-    indexed = with_global_index(df, [*group_by, *order_by], ix)
-    first = indexed.groupBy(*group_by).agg(F.min(ix).alias("_first"))
-    out = (indexed.join(first, list(group_by))
-           .withColumn(name, (F.col(ix) - F.col("_first") + F.lit(base)).cast("long"))
-           .drop("_first"))
-    return out if keep_index else out.drop(ix)
+    return with_running_sums(df, [], order_by, {name: F.lit(1).cast("long")}, num_partitions)
 
 
 def with_next_within(df: DataFrame, group_by: Sequence[str], order_by: Sequence,
                      columns: Sequence[str], prefix: str = "next_") -> DataFrame:
     """Add the values of the following row in the same group (``lead``)."""
-    indexed = with_global_index(df, [*group_by, *order_by], "_nix")
+    indexed = cut_lineage(with_rank_within(df, group_by, order_by, "_nix"))
     following = indexed.select(*group_by, (F.col("_nix") - 1).alias("_nix"),
                                *[F.col(c).alias(prefix + c) for c in columns])
     return indexed.join(following, [*group_by, "_nix"], "left").drop("_nix")

@@ -71,11 +71,12 @@ def fill_missing(ids: DataFrame, rows: DataFrame, key: str = "id", width: int =
 
 def _gauss(seed: int, *parts: Column) -> Column:
     """A standard normal value that depends only on (seed, parts): Box-Muller
-    over two 52-bit hashes. Deterministic however the data is partitioned."""
-    scale = float(2 ** 52)
-    u1 = (F.pmod(F.xxhash64(F.lit(seed), F.lit(1), *parts), F.lit(2 ** 52)) + 0.5) / scale
-    u2 = (F.pmod(F.xxhash64(F.lit(seed), F.lit(2), *parts), F.lit(2 ** 52)) + 0.5) / scale
-    return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2 * 3.141592653589793) * u2)
+    over the first 52 bits of two md5 sums. The same however the data is
+    partitioned, and any SQL engine can repeat it."""
+    def uniform(k: int) -> Column:
+        text = F.concat_ws("|", F.lit(str(seed)), F.lit(str(k)), *[p.cast("string") for p in parts])
+        return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(2 ** 52)
+    return F.sqrt(F.lit(-2.0) * F.log(uniform(1))) * F.cos(F.lit(2 * 3.141592653589793) * uniform(2))
 
 
 def add_noise(df: DataFrame, std: float, seed: int = 0, key: str = "id", pos: str = "day_idx",

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from admitflow.functions import vectors as V
+from admitflow.operators import assembly as asm
 from admitflow.operators import batching, folds, labels, metrics, modeling, notes, pooling, selection
 from admitflow.operators import sequences as seq
 from admitflow.operators import text as tx
@@ -71,18 +72,19 @@ def _curated(spark, d, split: str) -> DataFrame:
 
 
 def _train_stats(spark, d, days: DataFrame | None = None) -> DataFrame:
-    days = fx.day_rows(spark, d) if days is None else days
+    days = fx.day_vectors(spark, d) if days is None else days
     train_days = days.join(_curated(spark, d, "train").select("id"), "id", "left_semi")
     return seq.fit_scaler(train_days, "features", ddof=0)
 
 
-def _scaled_days(spark, d) -> DataFrame:
-    days = fx.day_rows(spark, d)
-    return seq.standardise(days, _train_stats(spark, d, days), "features", zero_std="one")
+def _scaled_days(spark, d, index: bool = True) -> DataFrame:
+    """Scaled days; with ``index`` also their position, which costs a sort."""
+    days = fx.day_rows(spark, d) if index else fx.day_vectors(spark, d)
+    return seq.standardise(days, _train_stats(spark, d), "features", zero_std="one")
 
 
 def _tfidf(spark, d):
-    n = fx.notes(spark, d)
+    n = fx.note_texts(spark, d)
     sparse, vocab = tx.fit_transform(n, "note_id", "text", VOCAB_SIZE)
     return n, sparse, vocab
 
@@ -92,10 +94,33 @@ def _note_vecs(spark, d):
     return n, tx.densify(sparse, n, VOCAB_SIZE, "note_id", "vec")
 
 
-def _standardised_notes(spark, d):
-    n, vecs = _note_vecs(spark, d)
-    stats = seq.fit_scaler(vecs, "vec", ddof=1)
-    return n, seq.standardise(vecs, stats, "vec", zero_std="zero")
+def _note_stats(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Sparse note rows and the statistics of every dimension."""
+    _, sparse, _ = _tfidf(spark, d)
+    n_docs = fx.note_keys(spark, d).agg(F.count(F.lit(1))).scalar()
+    return sparse, tx.sparse_stats(sparse, n_docs, VOCAB_SIZE, ddof=1)
+
+
+def _standardised_sums(spark, d) -> DataFrame:
+    """``note_id, s1, s2, chk`` of every standardised note: sum, sum of squares
+    and position-weighted sum, from the sparse rows and the constant vector."""
+    sparse, stats = _note_stats(spark, d)
+    base, shift = tx.standardised_parts(sparse, stats)
+    at = F.col("term_ix") + 1
+    const = base.agg(F.struct(F.sum("base").alias("s1"), F.sum(F.col("base") * F.col("base")).alias("s2"),
+                              F.sum(F.col("base") * at).alias("chk"))).scalar()
+    moved = shift.join(F.broadcast(base), "term_ix").groupBy("note_id").agg(
+        F.sum("shift").alias("d1"), F.sum((F.col("base") * 2 + F.col("shift")) * F.col("shift")).alias("d2"),
+        F.sum(F.col("shift") * at).alias("dc"))
+    out = fx.note_keys(spark, d).select("note_id").join(moved, "note_id", "left").withColumn("_c", const)
+    plus = lambda c, k: F.col(f"_c.{c}") + F.coalesce(k, F.lit(0.0))
+    return out.select("note_id", plus("s1", "d1").alias("s1"), plus("s2", "d2").alias("s2"), plus("chk", "dc").alias("chk"))
+
+
+def _ordered_notes(spark, d) -> DataFrame:
+    """J6 + W1 + T1: the notes with the label store's sequence numbers, in order."""
+    labelled = notes.with_labels(fx.note_keys(spark, d), notes.note_labels(fx.notes(spark, d)))
+    return notes.note_order(labelled)
 
 
 def _test_ids(spark, d) -> DataFrame:
@@ -143,7 +168,7 @@ def class_weights(spark, d):
 @query
 def mean_pool(spark, d):
     """J2 + A3: mean over days of each feature, for labelled train ids."""
-    days = fx.day_rows(spark, d).join(_curated(spark, d, "train").select("id"), "id", "left_semi")
+    days = fx.day_vectors(spark, d).join(_curated(spark, d, "train").select("id"), "id", "left_semi")
     pooled = seq.mean_pool(days, "id", "features")
     return seq.explode_vector(pooled, ["id"]).select("id", big("feature_ix").alias("feature_ix"),
                                                      r6("value").alias("value"))
@@ -182,8 +207,8 @@ def feature_slice(spark, d):
 @query
 def default_fill(spark, d):
     """J3 + X17: every cohort id gets its day rows, or 100 zero rows."""
-    filled = seq.fill_missing(fx.cohort(spark, d).select("id"), fx.day_rows(spark, d), "id",
-                              width=DAY_WIDTH, missing_rows=MISSING_ROWS)
+    days = fx.day_vectors(spark, d).withColumnRenamed("day", "day_idx").withColumn("day_idx", F.lit(0))
+    filled = seq.fill_missing(fx.cohort(spark, d).select("id"), days, "id", width=DAY_WIDTH, missing_rows=MISSING_ROWS)
     return filled.groupBy("id").agg(
         big(F.count(F.lit(1))).alias("n_rows"), F.max("filled").alias("filled"),
         r6(F.sum(V.vsum(F.col("features"))), 4).alias("total"))
@@ -191,7 +216,7 @@ def default_fill(spark, d):
 
 @query
 def noise_augment(spark, d):
-    """P11 + X16: train-only Gaussian noise (rows-only check)."""
+    """P11 + X16: train-only Gaussian noise."""
     days = fx.day_rows(spark, d).join(_curated(spark, d, "train").select("id"), "id", "left_semi")
     noisy = seq.add_noise(days, NOISE_STD, NOISE_SEED)
     return noisy.select("id", big("day_idx").alias("day_idx"), r6(V.vsum(F.col("features"))).alias("total"))
@@ -210,7 +235,7 @@ def positional_encoding(spark, d):
 @query
 def attention_pool(spark, d):
     """W6 + A16 + X25: softmax-attention pooling of each id's scaled days."""
-    pooled = pooling.attention(_scaled_days(spark, d), ATTN_W, ATTN_B, "id", "features", "pooled")
+    pooled = pooling.attention(_scaled_days(spark, d, index=False), ATTN_W, ATTN_B, "id", "features", "pooled")
     return seq.explode_vector(pooled, ["id"], "pooled").select(
         "id", big("feature_ix").alias("feature_ix"), r6("value").alias("value"))
 
@@ -226,7 +251,7 @@ def dense_projection(spark, d):
 @query
 def affine_normalise(spark, d):
     """Evaluation-mode normalisation of mean-pooled features."""
-    pooled = seq.mean_pool(fx.day_rows(spark, d), "id", "features")
+    pooled = seq.mean_pool(fx.day_vectors(spark, d), "id", "features")
     out = pooling.affine(pooled, AFF_MEAN, AFF_VAR, AFF_GAMMA, AFF_BETA, 1e-5, "features", "norm")
     return seq.explode_vector(out, ["id"], "norm").select(
         "id", big("feature_ix").alias("feature_ix"), r6("value").alias("value"))
@@ -235,8 +260,8 @@ def affine_normalise(spark, d):
 @query
 def vector_concat(spark, d):
     """Pooled day features joined end to end with [n_notes, has_note]."""
-    pooled = seq.mean_pool(fx.day_rows(spark, d), "id", "features")
-    n = fx.notes(spark, d)
+    pooled = seq.mean_pool(fx.day_vectors(spark, d), "id", "features")
+    n = fx.note_keys(spark, d)
     rel = notes.related_subjects(pooled.select("id"), n)
     gate = notes.gate(pooled.select("id"), n)
     joined = pooled.join(rel, "id").join(gate, "id")
@@ -251,13 +276,13 @@ def vector_concat(spark, d):
 @query
 def clean_text(spark, d):
     """The cleaned text of every note."""
-    return tx.cleaned(fx.notes(spark, d), "note_id", "text", "clean_text").select("note_id", "clean_text")
+    return tx.cleaned(fx.note_texts(spark, d), "note_id", "text", "clean_text").select("note_id", "clean_text")
 
 
 @query
 def term_stats(spark, d):
     """A7 + X8: corpus count and document frequency of every token."""
-    st = tx.term_stats(tx.doc_terms(fx.notes(spark, d), "note_id", "text"))
+    st = tx.term_stats(tx.doc_terms(fx.note_texts(spark, d), "note_id", "text"))
     return st.select("term", big("tf").alias("tf"), big("df").alias("df"))
 
 
@@ -297,8 +322,9 @@ def note_labels(spark, d):
 
 @query
 def note_order(spark, d):
-    """Position of each note inside its subject."""
-    o = notes.note_order(notes.note_labels(fx.notes(spark, d)))
+    """Position of each note inside its subject, by the sequence
+    number of the label store."""
+    o = _ordered_notes(spark, d)
     return o.select("note_id", "subject", big("note_seq").alias("note_seq"), big("note_pos").alias("note_pos"))
 
 
@@ -312,69 +338,97 @@ def chat_note_order(spark, d):
 @query
 def related_notes(spark, d):
     """J12 + X12: each admission's subject and how many notes it has."""
-    return notes.related_subjects(fx.cohort(spark, d).select("id"), fx.notes(spark, d))
+    return notes.related_subjects(fx.cohort(spark, d).select("id"), fx.note_keys(spark, d))
 
 
 @query
 def related_notes_contains(spark, d):
     """J4 + X13: (subject, note) pairs under the substring rule, over the
     subjects that have notes."""
-    n = fx.notes(spark, d)
+    n = fx.note_keys(spark, d)
     return notes.related_contains(n.select("subject").distinct(), n)
 
 
 @query
 def note_gate(spark, d):
     """J5 + P7: does the admission have its own note."""
-    return notes.gate(fx.cohort(spark, d).select("id"), fx.notes(spark, d))
+    return notes.gate(fx.cohort(spark, d).select("id"), fx.note_keys(spark, d))
 
 
 @query
 def note_stats(spark, d):
     """Mean and sample std per TF-IDF dimension over all notes."""
-    _, vecs = _note_vecs(spark, d)
-    st = seq.fit_scaler(vecs, "vec", ddof=1)
-    return st.select(F.posexplode(F.arrays_zip("mean", "std")).alias("dim", "s")).select(
-        big("dim").alias("dim"), r6("s.mean").alias("mean"), r6("s.std").alias("std"))
+    _, st = _note_stats(spark, d)
+    return st.select(big("term_ix").alias("dim"), r6("mean").alias("mean"), r6("std").alias("std"))
 
 
 @query
 def notes_standardised(spark, d):
     """J7 + X15: notes standardised with the note statistics (std 0 → 0)."""
-    _, z = _standardised_notes(spark, d)
-    return z.select("note_id", r6(V.vsum(F.col("vec"))).alias("s1"), r6(V.vsumsq(F.col("vec"))).alias("s2"))
+    return _standardised_sums(spark, d).select("note_id", r6("s1").alias("s1"), r6("s2").alias("s2"))
 
 
 @query
 def note_sequences(spark, d):
-    """A9 + T1 + S4: each subject's notes in order with their vectors."""
-    n, vecs = _note_vecs(spark, d)
-    ordered = notes.note_order(notes.note_labels(n))
-    s = notes.sequences(ordered, vecs, "vec")
-    return s.select("subject", big("note_pos").alias("note_pos"), "note_id", r6(V.vsum(F.col("vec"))).alias("vec_sum"))
+    """A9 + T1: each subject's notes in order with their (sparse) vectors."""
+    _, sparse, _ = _tfidf(spark, d)
+    vecs = sparse.groupBy("note_id").agg(F.collect_list(F.struct("term_ix", "value")).alias("vec"))
+    s = notes.sequences(_ordered_notes(spark, d), vecs, "vec")
+    total = F.coalesce(F.aggregate("vec", F.lit(0.0), lambda a, e: a + e["value"]), F.lit(0.0))
+    return s.select("subject", big("note_pos").alias("note_pos"), "note_id", r6(total).alias("vec_sum"))
+
+
+def _vector_sums(c: str) -> list[Column]:
+    """Sum and position-weighted sum of a vector."""
+    chk = F.aggregate(F.transform(F.col(c), lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return [V.vsum(F.col(c)).alias("s1"), chk.alias("chk")]
 
 
 @query
 def assemble(spark, d):
-    """M8 + P12: per admission - scaled feature rows (or 100 zero rows),
-    the subject's standardised notes when the admission has its own note
-    (else one zero row), and the label (null for test)."""
+    """M8 + P12: the rows of every sample - scaled days (or 100 zero rows), the
+    subject's standardised notes in order when the admission has its own note
+    (else one zero row) - with the label (null for test); per row the sum and
+    the position-weighted sum of its vector."""
     c = fx.cohort(spark, d)
-    days = seq.fill_missing(c.select("id"), _scaled_days(spark, d), "id", DAY_WIDTH, MISSING_ROWS)
-    feat = days.groupBy("id").agg(F.count(F.lit(1)).alias("n_days"),
-                                  F.sum(V.vsum(F.col("features"))).alias("feat_sum"))
-    n, z = _standardised_notes(spark, d)
-    per_subject = (z.join(n.select("note_id", "subject"), "note_id")
-                   .groupBy("subject").agg(F.count(F.lit(1)).alias("_nn"), F.sum(V.vsum(F.col("vec"))).alias("_ns")))
-    g = notes.gate(c.select("id"), n)
-    out = (c.join(feat, "id").join(g, "id")
-           .join(per_subject, c.subject == per_subject.subject, "left"))
-    return out.select(
-        "id", "split",
-        F.when(F.col("split") == "test", F.lit(None)).otherwise(F.col("label")).cast("double").alias("label"),
-        big("n_days").alias("n_days"), r6("feat_sum").alias("feat_sum"), "has_note",
-        big(F.when(F.col("has_note"), F.col("_nn")).otherwise(F.lit(1))).alias("n_notes"),
-        r6(F.when(F.col("has_note"), F.col("_ns")).otherwise(F.lit(0.0))).alias("note_sum"))
+    head = asm.heads(c, fx.note_keys(spark, d))
+    days = asm.sample_days(c, _scaled_days(spark, d), DAY_WIDTH, MISSING_ROWS).select(
+        "id", F.lit("day").alias("branch"), "pos", F.lit(None).cast("string").alias("note_id"), *_vector_sums("features"))
+    vecs = _standardised_sums(spark, d).select("note_id", "s1", "chk")
+    mine = asm.sample_notes(head, _ordered_notes(spark, d)).join(vecs, "note_id", "left").select(
+        "id", F.lit("note").alias("branch"), "pos", "note_id", *[F.coalesce(k, F.lit(0.0)).alias(k) for k in ("s1", "chk")])
+    return head.join(days.unionByName(mine), "id").select(
+        "id", "split", "label", "has_note", "branch", big("pos").alias("pos"), "note_id", r6("s1", 5).alias("s1"), r6("chk", 4).alias("chk"))
+
+
+def _collated(spark, d, members: DataFrame) -> DataFrame:
+    c = fx.cohort(spark, d).join(members.select("id"), "id", "left_semi")
+    head = asm.heads(c, fx.note_keys(spark, d))
+    days = asm.sample_days(c, _scaled_days(spark, d), DAY_WIDTH, MISSING_ROWS)
+    mine = asm.sample_notes(head, _ordered_notes(spark, d))
+    day = asm.collate(members, days, ["features"], [V.zeros(DAY_WIDTH)])
+    note = asm.collate(members, mine, ["note_id"], [F.lit(None).cast("string")])
+    return day.select("batch_id", "id", F.lit("day").alias("branch"), "pos", F.lit(None).cast("string").alias("note_id"), "padded", *_vector_sums("features")).unionByName(
+        note.select("batch_id", "id", F.lit("note").alias("branch"), "pos", "note_id", "padded", F.lit(0.0).alias("s1"), F.lit(0.0).alias("chk")))
+
+
+@query
+def collate(spark, d):
+    """M9 + X19 + F3: the test batches with both sequences right-padded to the
+    longest of the batch, row by row, with the mask."""
+    rows = _collated(spark, d, batching.batches(_test_ids(spark, d), ["row_ix"], BATCH_SIZE))
+    return rows.select(big("batch_id").alias("batch_id"), "id", "branch", big("pos").alias("pos"), "note_id", "padded", r6("s1").alias("s1"), r6("chk").alias("chk"))
+
+
+@query
+def collate_train(spark, d):
+    """M9 + T4: the train batches in seeded shuffled order, padded; per batch and
+    branch its rows, padded rows and longest sequence."""
+    ids = _curated(spark, d, "train").select("id")
+    rows = _collated(spark, d, batching.batches(ids, [], BATCH_SIZE, shuffle_seed=FOLD_SEED))
+    return rows.groupBy("batch_id", "branch").agg(
+        big(F.count(F.lit(1))).alias("n_rows"), big(F.sum(F.col("padded").cast("int"))).alias("n_padded"),
+        big(F.max("pos") + 1).alias("max_len"), r6(F.sum("s1"), 4).alias("s1"))
 
 
 # ---------------------------------------------------------------- order, folds, batches
@@ -392,7 +446,7 @@ def kfold(spark, d):
 @query
 def range_split(spark, d):
     """8 contiguous slices of the notes in row order."""
-    return folds.ranges(fx.notes(spark, d).select("note_id", "row_ix"), ["row_ix"], RANGE_PARTS).select(
+    return folds.ranges(fx.note_keys(spark, d).select("note_id", "row_ix"), ["row_ix"], RANGE_PARTS).select(
         "note_id", big("part").alias("part"))
 
 
@@ -412,12 +466,12 @@ def batches(spark, d):
 
 @query
 def padding_masks(spark, d):
-    """Per test id its sequence lengths, the batch
+    """Per test id its sequence lengths, the batch
     maxima and the number of padded (masked) positions, for the feature
     sequence and the note sequence."""
     b = batching.batches(_test_ids(spark, d), ["row_ix"], BATCH_SIZE)
-    days = fx.day_rows(spark, d).groupBy("id").agg(F.count(F.lit(1)).alias("_nd"))
-    n = fx.notes(spark, d)
+    days = fx.day_vectors(spark, d).groupBy("id").agg(F.count(F.lit(1)).alias("_nd"))
+    n = fx.note_keys(spark, d)
     rel = notes.related_subjects(b.select("id"), n)
     g = notes.gate(b.select("id"), n)
     x = (b.join(days, "id", "left").join(rel, "id").join(g, "id")
@@ -446,7 +500,7 @@ def focal_loss(spark, d):
 @query
 def roc_auc(spark, d):
     """A11 + W7: AUC per split with tied scores averaged."""
-    out = metrics.roc_auc(fx.scored(spark, d), "score", "label", by=["split"], tiebreak="id")
+    out = metrics.roc_auc(fx.scored(spark, d), "score", "label", by=["split"])
     return out.select("split", r6("auc").alias("auc"), "n_pos", "n_neg")
 
 
@@ -471,7 +525,7 @@ def best_model(spark, d):
     strictly better wins)."""
     p = fx.predictions(spark, d).withColumnRenamed("model_id", "step")
     lab = fx.cohort(spark, d).select("id", "label")
-    m = metrics.roc_auc(p.join(lab, "id"), "score", "label", by=["step"], tiebreak="id")
+    m = metrics.roc_auc(p.join(lab, "id"), "score", "label", by=["step"])
     b = modeling.best(m, "auc", "step", patience=20)
     return b.select(big("step").alias("step"), r6("auc").alias("auc"))
 
@@ -479,7 +533,7 @@ def best_model(spark, d):
 @query
 def incremental_pending(spark, d):
     """J11 + U4: notes not embedded yet (done = notes of labelled docs)."""
-    n = fx.notes(spark, d)
+    n = fx.note_keys(spark, d)
     done = n.join(read_table(spark, d, "labels").select(F.col("doc_id").alias("row_ix")), "row_ix", "left_semi")
     return pending(n, done, "note_id").select("note_id", "row_ix")
 
@@ -488,14 +542,15 @@ def incremental_pending(spark, d):
 def pooled_embeddings(spark, d):
     """A13 + M5: mean of the token vectors of each note; a token's vector is
     the embedding row at the md5 bucket of the token."""
-    n = fx.notes(spark, d)
+    n = fx.note_texts(spark, d)
     emb = read_table(spark, d, "embeddings")
     n_emb = emb.agg(F.count(F.lit(1))).scalar()
     from admitflow.functions import text as T
     toks = n.select(F.explode(T.words(F.col("text"))).alias("token")).distinct()
     bucket = F.pmod(F.conv(F.substring(F.md5(F.col("token")), 1, 8), 16, 10).cast("long"), n_emb)
     tv = toks.withColumn("vec_id", bucket).join(emb.select("vec_id", F.col("embedding").alias("vec")), "vec_id")
-    pooled = token_mean(n, tv, "note_id", "text", "token", "vec")
+    # 64: the width of the embeddings table
+    pooled = token_mean(n, tv, "note_id", "text", "token", "vec", dim=64)
     return seq.explode_vector(pooled, ["note_id"], "vec", "dim").select(
         "note_id", big("dim").alias("dim"), r6("value").alias("value"))
 
@@ -503,8 +558,8 @@ def pooled_embeddings(spark, d):
 def _model_rows(spark, d) -> tuple[DataFrame, DataFrame]:
     """Pooled, scaled day features + note count per cohort id."""
     c = fx.cohort(spark, d)
-    pooled = seq.mean_pool(_scaled_days(spark, d), "id", "features")
-    rel = notes.related_subjects(c.select("id"), fx.notes(spark, d))
+    pooled = seq.mean_pool(_scaled_days(spark, d, index=False), "id", "features")
+    rel = notes.related_subjects(c.select("id"), fx.note_keys(spark, d))
     rows = (c.join(pooled, "id", "left").join(rel, "id")
             .select("id", "split", "label",
                     V.concat(F.coalesce(F.col("features"), V.zeros(DAY_WIDTH)),
@@ -517,7 +572,7 @@ def _model_rows(spark, d) -> tuple[DataFrame, DataFrame]:
 @query
 def select_features(spark, d):
     """M1 + A15 + T2: forest importances on pooled 64-wide rows, top 32."""
-    days = fx.day_rows_64(spark, d)
+    days = fx.day_vectors_64(spark, d)
     lab = _curated(spark, d, "train")
     sel = selection.select_features(lab, days, SELECT_K, trees=100, seed=42, max_depth=10)
     return sel.select(big("rank").alias("rank"), big("feature_ix").alias("feature_ix"),

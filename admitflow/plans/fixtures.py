@@ -4,9 +4,12 @@
 |--------------|-------------------------------------------------------------|
 | cohort       | one row per admission with split and 30-day label           |
 | label_rows   | train.csv / valid.csv / test.csv rows (conflicting labels)  |
+| day_vectors  | per-id days without their position (8 wide)                 |
 | day_rows     | the per-id day x feature sequence store (8 wide)            |
 | day_rows_64  | the same, 64 wide (for feature selection)                   |
-| notes        | notes.csv                                                   |
+| note_keys    | the key columns of notes.csv, without text or position      |
+| note_texts   | notes with text, without position                           |
+| notes        | the key columns with the position in the subject            |
 | chat_notes   | notes.csv with longer per-subject sequences                 |
 | scored       | a prediction table with labels                              |
 | predictions  | prediction files of three models, one missing some ids      |
@@ -77,15 +80,19 @@ def split_labels(spark: SparkSession, d: str, split: str) -> DataFrame:
     return label_rows(spark, d).filter(F.col("split") == split).drop("split")
 
 
-def _with_day_index(days: DataFrame, spark: SparkSession, d: str) -> DataFrame:
+def _to_ids(days: DataFrame, spark: SparkSession, d: str) -> DataFrame:
     days = days.join(_order_ids(spark, d).drop("split"), days.l_orderkey == F.col("o_orderkey"))
-    days = days.select("id", "day", "features")
-    return with_rank_within(days, ["id"], ["day"], "day_idx").select(
+    return days.select("id", "day", "features")
+
+
+def _with_day_index(days: DataFrame) -> DataFrame:
+    """The position of each day; only (id, day) is put in order."""
+    return with_rank_within(days, ["id"], ["day"], "day_idx", key=["id", "day"]).select(
         "id", "day", F.col("day_idx").cast("int").alias("day_idx"), "features")
 
 
-def day_rows(spark: SparkSession, d: str) -> DataFrame:
-    """id, day, day_idx, features array<double>(8) - the sequence store."""
+def day_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """id, day, features array<double>(8) - days without their position."""
     li = read_table(spark, d, "lineitem")
     flag = F.col("l_returnflag")
     days = li.groupBy("l_orderkey", F.to_date("l_shipdate").alias("day")).agg(
@@ -94,11 +101,16 @@ def day_rows(spark: SparkSession, d: str) -> DataFrame:
             F.count(F.lit(1)).cast("double"),
             *[F.sum((flag == f).cast("double")) for f in RETURN_FLAGS],
         ).alias("features"))
-    return _with_day_index(days, spark, d)
+    return _to_ids(days, spark, d)
 
 
-def day_rows_64(spark: SparkSession, d: str) -> DataFrame:
-    """Same keys as :func:`day_rows`; features = mean over the day's lines of
+def day_rows(spark: SparkSession, d: str) -> DataFrame:
+    """id, day, day_idx, features array<double>(8) - the sequence store."""
+    return _with_day_index(day_vectors(spark, d))
+
+
+def day_vectors_64(spark: SparkSession, d: str) -> DataFrame:
+    """Same keys as :func:`day_vectors`; features = mean over the day's lines of
     the embedding at ``vec_id = l_partkey % count(embeddings)``."""
     emb = read_table(spark, d, "embeddings").select("vec_id", "embedding")
     n_emb = emb.agg(F.count(F.lit(1))).scalar()
@@ -109,26 +121,46 @@ def day_rows_64(spark: SparkSession, d: str) -> DataFrame:
         "l_orderkey", "day", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
     days = joined.groupBy("l_orderkey", "day").agg(
         vector_to_array(Summarizer.mean(F.col("v"))).alias("features"))
-    return _with_day_index(days, spark, d)
+    return _to_ids(days, spark, d)
 
 
-def notes(spark: SparkSession, d: str) -> DataFrame:
-    """note_id, subject, hadm, note_seq, text, row_ix - orders with a document."""
+def day_rows_64(spark: SparkSession, d: str) -> DataFrame:
+    """:func:`day_vectors_64` with day_idx."""
+    return _with_day_index(day_vectors_64(spark, d))
+
+
+def _note_orders(spark: SparkSession, d: str, columns: tuple[str, ...]) -> DataFrame:
     o = read_table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    docs = read_table(spark, d, "documents").select("doc_id", "text")
-    n = o.join(docs, o.o_orderkey == docs.doc_id)
-    n = with_rank_within(n, ["o_custkey"], ["o_orderdate", "o_orderkey"], "note_seq", base=1)
-    return n.select(
-        admission_id(F.col("o_custkey"), F.col("o_orderkey")).alias("note_id"),
-        F.col("o_custkey").cast("string").alias("subject"),
-        F.col("o_orderkey").cast("string").alias("hadm"),
-        F.col("note_seq").cast("int").alias("note_seq"),
-        "text",
-        F.col("o_orderkey").alias("row_ix"))
+    docs = read_table(spark, d, "documents").select("doc_id", *columns)
+    return o.join(docs, o.o_orderkey == docs.doc_id)
+
+
+def _note_columns() -> list[Column]:
+    return [admission_id(F.col("o_custkey"), F.col("o_orderkey")).alias("note_id"),
+            F.col("o_custkey").cast("string").alias("subject"),
+            F.col("o_orderkey").cast("string").alias("hadm"),
+            F.col("o_orderkey").alias("row_ix")]
+
+
+def note_keys(spark: SparkSession, d: str) -> DataFrame:
+    """note_id, subject, hadm, row_ix - orders with a document; no text is read."""
+    return _note_orders(spark, d, ()).select(*_note_columns())
+
+
+def note_texts(spark: SparkSession, d: str) -> DataFrame:
+    """note_id, subject, hadm, row_ix, text - without a position."""
+    return _note_orders(spark, d, ("text",)).select(*_note_columns(), "text")
+
+
+def notes(spark: SparkSession, d: str) -> DataFrame:
+    """note_id, subject, hadm, row_ix, note_seq - the keys with their position."""
+    n = with_rank_within(_note_orders(spark, d, ()), ["o_custkey"], ["o_orderdate", "o_orderkey"], "note_seq", base=1)
+    return n.select(*_note_columns(), F.col("note_seq").cast("int").alias("note_seq"))
 
 
 def chat_notes(spark: SparkSession, d: str) -> DataFrame:
-    """Conversations as notes: subject = conversation, note_seq = turn."""
+    """Conversations as notes: subject = conversation, note_seq = turn; row_ix
+    holds the conversation in the upper 32 bits, so turns cannot collide."""
     c = read_table(spark, d, "conversations")
     return c.select(
         admission_id(F.col("conv_id"), F.col("turn")).alias("note_id"),
@@ -136,7 +168,7 @@ def chat_notes(spark: SparkSession, d: str) -> DataFrame:
         F.col("conv_id").cast("string").alias("hadm"),
         F.col("turn").cast("int").alias("note_seq"),
         "text",
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("row_ix"))
+        (F.shiftleft(F.col("conv_id"), 32) + F.col("turn")).alias("row_ix"))
 
 
 def score_of(totalprice: Column) -> Column:

@@ -9,7 +9,7 @@ driver then checks rows only) and are tested against brute force in pytest.
 from __future__ import annotations
 
 from admitflow.plans.catalog import (AFF_BETA, AFF_GAMMA, AFF_MEAN, AFF_VAR, ATTN_B, ATTN_W, BATCH_SIZE,
-                                     FOLD_SEED, K_FOLDS, MISSING_ROWS, PROJ_B, PROJ_W, RANGE_PARTS,
+                                     FOLD_SEED, K_FOLDS, MISSING_ROWS, NOISE_SEED, NOISE_STD, PROJ_B, PROJ_W, RANGE_PARTS,
                                      SLICE_INDICES)
 from admitflow.plans.oracle_views import _view, with_views
 
@@ -219,17 +219,59 @@ SELECT n.subject, CAST(row_number() OVER (PARTITION BY n.subject ORDER BY n.note
 FROM notes n LEFT JOIN (SELECT note_id, sum(value) AS s FROM tfidf GROUP BY note_id) t USING (note_id)""",
                                  "notes", "tfidf")
 
-Q["assemble"] = with_views(f"""
-WITH feat AS (SELECT id, count(DISTINCT day_idx) AS n_days, sum(value) AS feat_sum FROM scaled_long GROUP BY id),
-     subj AS (SELECT n.subject, count(DISTINCT n.note_id) AS nn, sum(z.value) AS ns
-              FROM note_z z JOIN notes n USING (note_id) GROUP BY n.subject)
-SELECT c.id, c.split, CAST(CASE WHEN c.split = 'test' THEN NULL ELSE c.label END AS DOUBLE) AS label,
-       CAST(coalesce(f.n_days, {MISSING_ROWS}) AS BIGINT) AS n_days, round(coalesce(f.feat_sum, 0.0), 6) AS feat_sum,
-       c.id IN (SELECT note_id FROM notes) AS has_note,
-       CAST(CASE WHEN c.id IN (SELECT note_id FROM notes) THEN s.nn ELSE 1 END AS BIGINT) AS n_notes,
-       round(CASE WHEN c.id IN (SELECT note_id FROM notes) THEN s.ns ELSE 0.0 END, 6) AS note_sum
-FROM cohort c LEFT JOIN feat f USING (id) LEFT JOIN subj s ON s.subject = c.subject""",
-                           "cohort", "scaled_long", "note_z", "notes")
+_view("day_sums", ["scaled_long"], """
+SELECT id, day_idx AS pos, sum(value) AS s1, sum(value * (feature_ix + 1)) AS chk FROM scaled_long GROUP BY id, day_idx""")
+
+_view("sample_days", ["cohort", "day_sums"], f"""
+SELECT id, CAST(pos AS BIGINT) AS pos, s1, chk FROM day_sums JOIN cohort USING (id)
+UNION ALL
+SELECT id, pos, 0.0, 0.0 FROM cohort, range({MISSING_ROWS}) r(pos) WHERE id NOT IN (SELECT id FROM day_sums)""")
+
+_view("note_pos", ["notes"], """
+SELECT subject, note_id, row_number() OVER (PARTITION BY subject ORDER BY note_seq, note_id) - 1 AS pos FROM notes""")
+
+_view("sample_notes", ["cohort", "note_pos"], """
+SELECT c.id, p.pos, p.note_id FROM cohort c JOIN note_pos p USING (subject) WHERE c.id IN (SELECT note_id FROM notes)
+UNION ALL
+SELECT id, 0, NULL FROM cohort WHERE id NOT IN (SELECT note_id FROM notes)""")
+
+Q["assemble"] = with_views("""
+WITH z AS (SELECT note_id, sum(value) AS s1, sum(value * (dim + 1)) AS chk FROM note_z GROUP BY note_id),
+r AS (SELECT id, 'day' AS branch, pos, NULL AS note_id, s1, chk FROM sample_days
+      UNION ALL
+      SELECT id, 'note', pos, n.note_id, coalesce(s1, 0.0), coalesce(chk, 0.0) FROM sample_notes n LEFT JOIN z USING (note_id))
+SELECT id, split, CAST(CASE WHEN split = 'test' THEN NULL ELSE label END AS DOUBLE) AS label,
+       id IN (SELECT note_id FROM notes) AS has_note, branch, pos, r.note_id, round(s1, 5) AS s1, round(chk, 4) AS chk
+FROM cohort JOIN r USING (id)""", "cohort", "sample_days", "sample_notes", "note_z", "notes")
+
+_view("train_batches", ["curated"], f"""
+SELECT id, (row_number() OVER (ORDER BY md5(id || '|{FOLD_SEED}'), id) - 1) // {BATCH_SIZE} AS batch_id
+FROM curated WHERE split = 'train'""")
+
+_COLLATE = """
+r AS (SELECT b.batch_id, d.id, 'day' AS branch, d.pos, NULL AS note_id, d.s1, d.chk FROM sample_days d JOIN {src} b USING (id)
+      UNION ALL
+      SELECT b.batch_id, n.id, 'note', n.pos, n.note_id, 0.0, 0.0 FROM sample_notes n JOIN {src} b USING (id)),
+len AS (SELECT batch_id, id, branch, max(pos) + 1 AS n FROM r GROUP BY ALL),
+longest AS (SELECT batch_id, branch, max(n) AS m FROM len GROUP BY ALL),
+padded AS (SELECT batch_id, id, branch, CAST(unnest(range(n, m)) AS BIGINT) AS pos FROM len JOIN longest USING (batch_id, branch)),
+out AS (SELECT batch_id, id, branch, pos, note_id, false AS padded, s1, chk FROM r
+        UNION ALL SELECT batch_id, id, branch, pos, NULL, true, 0.0, 0.0 FROM padded)"""
+Q["collate"] = with_views(f"""
+WITH {_COLLATE.format(src="test_batches")}
+SELECT CAST(batch_id AS BIGINT) AS batch_id, id, branch, pos, note_id, padded, round(s1, 6) AS s1, round(chk, 6) AS chk FROM out""",
+                          "test_batches", "sample_days", "sample_notes")
+Q["collate_train"] = with_views(f"""
+WITH {_COLLATE.format(src="train_batches")}
+SELECT CAST(batch_id AS BIGINT) AS batch_id, branch, count(*) AS n_rows, count(*) FILTER (padded) AS n_padded,
+       max(pos) + 1 AS max_len, round(sum(s1), 4) AS s1
+FROM out GROUP BY batch_id, branch""", "train_batches", "sample_days", "sample_notes")
+
+_U = "(CAST(('0x' || substr(md5(concat_ws('|', '{seed}', '{k}', id, day_idx, feature_ix)), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0"
+Q["noise_augment"] = with_views(f"""
+SELECT id, CAST(day_idx AS BIGINT) AS day_idx,
+       round(sum(value + {NOISE_STD} * sqrt(-2.0 * ln({_U.format(seed=NOISE_SEED, k=1)})) * cos(2 * 3.141592653589793 * ({_U.format(seed=NOISE_SEED, k=2)}))), 6) AS total
+FROM day_long WHERE id IN (SELECT id FROM curated WHERE split = 'train') GROUP BY id, day_idx""", "day_long", "curated")
 
 Q["kfold"] = with_views(f"""
 SELECT id, CAST(ntile({K_FOLDS}) OVER (ORDER BY md5(id || '|{FOLD_SEED}'), id) - 1 AS BIGINT) AS fold_exact,

@@ -72,7 +72,7 @@ FROM orders o JOIN documents d ON o.o_orderkey = d.doc_id""")
 _view("chat_notes", [], """
 SELECT CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS note_id,
        CAST(conv_id AS VARCHAR) AS subject, CAST(conv_id AS VARCHAR) AS hadm,
-       CAST(turn AS INTEGER) AS note_seq, text, conv_id * 1000 + turn AS row_ix
+       CAST(turn AS INTEGER) AS note_seq, text, conv_id * 4294967296 + turn AS row_ix
 FROM conversations""")
 
 _view("scored", ["cohort"], """

@@ -28,7 +28,7 @@ VECTOR_STORE = StructType([                                                    #
     StructField("note_id", StringType()), StructField("vec", ArrayType(FloatType()))])
 NOTE_LABELS = StructType([                                                     # D6
     StructField("note_id", StringType()), StructField("subject", StringType()),
-    StructField("hadm", StringType()), StructField("note_seq", IntegerType())])
+    StructField("hadm", StringType()), StructField("note_seq", LongType())])
 STATS = StructType([                                                           # D7 / D13
     StructField("mean", ArrayType(DoubleType())), StructField("std", ArrayType(DoubleType())),
     StructField("n", LongType())])

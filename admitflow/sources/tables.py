@@ -3,7 +3,7 @@ prediction-file folders and the keyed vector store."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -19,22 +19,40 @@ def read_table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _read_csv(spark: SparkSession, path: str, columns: list[str], **options) -> DataFrame:
+    """A CSV file with a header, all columns as text, chosen by name. Malformed
+    rows fail the read, and so does a column that the header lacks."""
+    raw = spark.read.csv(path, header=True, inferSchema=False, mode="FAILFAST", **options)
+    missing = [c for c in columns if c not in raw.columns]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}; it has {', '.join(raw.columns)}")
+    return raw.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def _number(c: str, kind: str, path: str) -> Column:
+    """Text to ``kind``; null stays null, any other text that is no such number
+    fails the job. ``1.0`` is the integer 1."""
+    text = F.trim(F.col(c))
+    value = text.try_cast("double")
+    ok = value.isNotNull() if kind == "double" else value.isNotNull() & (value == F.floor(value))
+    bad = F.raise_error(F.concat(F.lit(f"{path}: column {c} is no {kind}: "), text))
+    return F.when(text.isNull() | (text == ""), F.lit(None)).when(ok, value.cast(kind)).otherwise(bad.cast(kind))
+
+
 def read_label_csv(spark: SparkSession, path: str, label_col: str = "readmitted_within_30days") -> DataFrame:
-    """Train.csv / valid.csv with an explicit schema (no inference);
-    the label column is renamed to ``label``."""
-    df = spark.read.csv(path, header=True, schema=schemas.label_file(label_col), mode="PERMISSIVE")
-    return df.select("id", F.col(label_col).alias("label"))
+    """Train.csv / valid.csv by header name, in any column order; the label
+    column becomes the integer ``label``."""
+    return _read_csv(spark, path, ["id", label_col]).select("id", _number(label_col, "int", path).alias("label"))
 
 
 def read_id_csv(spark: SparkSession, path: str) -> DataFrame:
     """Test.csv - only ``id`` is used."""
-    return spark.read.csv(path, header=True, schema=schemas.ID_FILE).select("id")
+    return _read_csv(spark, path, ["id"])
 
 
 def read_notes_csv(spark: SparkSession, path: str) -> DataFrame:
-    """S3: notes.csv - multi-line quoted text."""
-    return spark.read.csv(path, header=True, schema=schemas.NOTES_FILE, multiLine=True,
-                          quote='"', escape='"')
+    """S3: notes.csv by header name - multi-line quoted text."""
+    return _read_csv(spark, path, [f.name for f in schemas.NOTES_FILE.fields], multiLine=True, quote='"', escape='"')
 
 
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:
@@ -56,13 +74,21 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 def read_prediction_files(spark: SparkSession, folder: str, exclude: str = "ensemble",
                           score_col: str = "readmitted_within_30days") -> DataFrame:
-    """S7 + S8 + P3: every ``*.csv`` prediction file of a result folder as one
-    long table ``(model_id, id, score)``; files whose name contains
-    ``exclude`` are skipped; ``model_id`` is the file name before the dot."""
-    raw = (spark.read.option("pathGlobFilter", "*.csv")
-           .csv(folder, header=True, schema=schemas.prediction_file(score_col))
-           .withColumn("_file", F.element_at(F.split(F.input_file_name(), "/"), -1)))
-    score = numeric_columns(raw.drop("_file"))[0]
-    out = raw.filter(~F.col("_file").contains(exclude)) if exclude else raw
-    return out.select(stem(F.col("_file")).alias("model_id"), "id",
-                      F.col(score).cast("double").alias("score"))
+    """S7 + S8: every ``*.csv`` prediction table right under a result folder -
+    a plain file or a folder of part files, as the sinks write them - as one
+    long table ``(model_id, id, score)``. Tables whose name contains ``exclude``
+    are skipped; ``model_id`` is the name before the first dot. A folder without
+    predictions is an error."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(folder)
+    found = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(jvm.org.apache.hadoop.fs.Path(top, "*.csv"))
+    paths = sorted(f.getPath().toString() for f in found or [])
+    paths = [p for p in paths if not exclude or exclude not in p.rsplit("/", 1)[-1]]
+    if not paths:
+        raise FileNotFoundError(f"no prediction file in {folder}")
+    out = None
+    for path in paths:  # one per model
+        raw = _read_csv(spark, path, ["id", score_col])
+        one = raw.select(stem(F.lit(path.rsplit("/", 1)[-1])).alias("model_id"), "id", _number(score_col, "double", path).alias("score"))
+        out = one if out is None else out.unionByName(one)
+    return out

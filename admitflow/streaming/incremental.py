@@ -12,6 +12,7 @@ records which files were read; the anti-join makes a replayed micro-batch
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from admitflow.operators.embedding import pending, token_mean
 from admitflow.sources.sinks import _exists
@@ -20,8 +21,11 @@ NOTE_SCHEMA = "note_id string, text string"
 
 
 def embed_batch(batch: DataFrame, store: str, token_vectors: DataFrame) -> None:
+    """Of several rows of one note the one of the latest file wins (by name,
+    then by text); a note without a known token gets a zero vector and is done."""
     spark = batch.sparkSession
-    todo = batch.dropDuplicates(["note_id"])
+    order = F.struct(F.col("_file") if "_file" in batch.columns else F.lit(""), "text")
+    todo = batch.groupBy("note_id").agg(F.max_by("text", order).alias("text"))
     if _exists(spark, store):
         todo = pending(todo, spark.read.parquet(store), "note_id")
     vecs = token_mean(todo, token_vectors, "note_id", "text", "token", "vec")
@@ -32,7 +36,7 @@ def start_incremental(spark: SparkSession, source: str, store: str, token_vector
                       checkpoint: str, once: bool = True):
     """Start the stream; ``once=True`` processes what is there and stops."""
     notes = (spark.readStream.schema(NOTE_SCHEMA).option("recursiveFileLookup", "true")
-             .parquet(source))
+             .parquet(source).withColumn("_file", F.col("_metadata.file_path")))
     writer = (notes.writeStream.foreachBatch(lambda df, _id: embed_batch(df, store, token_vectors))
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")
