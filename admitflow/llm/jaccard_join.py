@@ -41,7 +41,7 @@ from admitflow.session import cut_lineage
 
 NGRAM, PERCENT = 5, 80
 FREQUENT, LEAST_COUNT = 1 << 18, 16      # frequent shingles of the order
-SLICE_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 32 << 20, 64
+SLICE_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 2 << 20, 16 << 20, 64
 BLOOM_BITS = 1 << 26                     # a filter before a join; its size is fixed
 SIGNATURE = 4                            # 64-bit words of parities
 PARTNERS, NEAR = 4, 64                   # partners of an entry, and how far they may stand, before the last round
@@ -189,8 +189,18 @@ def _entries(prefixes: DataFrame, percent: int) -> DataFrame:
 
 
 def _bloom_places(cls):
-    """Two bit positions of each class, in Spark."""
-    return F.array(*[F.pmod(F.xxhash64(F.lit(k), cls), F.lit(BLOOM_BITS)) for k in (1, 2)])
+    """Two bit positions of each class, in Spark; a class is a mixed hash, so
+    its own bits serve."""
+    return F.array(*[F.shiftrightunsigned(cls, k).bitwiseAND(BLOOM_BITS - 1) for k in (0, 32)])
+
+
+def _in_bloom(bloom: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """The same positions looked up in tasks."""
+    hit = np.ones(len(cls), dtype=bool)
+    for k in (0, 32):
+        at = (cls.view(np.uint64) >> np.uint64(k)).astype(np.int64) & (BLOOM_BITS - 1)
+        hit &= (bloom[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    return hit
 
 
 def _bloom(classes: DataFrame, col: str) -> np.ndarray:
@@ -212,17 +222,10 @@ def _sets(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     def classes(batches):
         for part, s in _slices(batches, n):
             at = s.distinct_rows(4)
+            at = at[_in_bloom(bloom.value, s.cls[at])]
             yield pa.record_batch({"cls": pa.array(s.cls[at]), "members": pa.array(
                 [s.key[s.first[r]:s.first[r + 1]].tobytes() for r in at], pa.binary())})
 
-    def likely(batches):
-        for batch in batches:
-            places = batch.column(2).flatten().to_numpy().reshape(-1, 2)
-            hit = np.ones(len(places), dtype=bool)
-            for k in range(2):
-                hit &= (bloom.value[places[:, k] >> 3] >> (places[:, k] & 7).astype(np.uint8) & 1).astype(bool)
-            yield batch.filter(pa.array(hit)).select([0, 1])
-
     def signed(batches):
         for batch in batches:
             sigs, sizes = [], []
@@ -236,7 +239,6 @@ def _sets(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 pa.array(np.arange(len(sizes) + 1) * SIGNATURE, pa.int32()), pa.array(sig))})
 
     found = rows.mapInArrow(classes, "cls long, members binary")
-    found = found.select("cls", "members", _bloom_places(F.col("cls")).alias("at")).mapInArrow(likely, "cls long, members binary")
     found = found.join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
     return cut_lineage(found.mapInArrow(signed, "cls long, n long, members binary, sig array<long>"))
 
