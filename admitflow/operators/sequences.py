@@ -51,9 +51,10 @@ def standardise(df: DataFrame, stats: DataFrame, vec: str = "features", out: str
 def slice_features(df: DataFrame, indices: Sequence[int] | Column, k: int, vec: str = "features",
                    out: str | None = None) -> DataFrame:
     """Keep the selected positions; narrower vectors become k zeros."""
-    expr = (V.select_positions_col(F.col(vec), indices, k) if isinstance(indices, Column)
-            else V.select_positions(F.col(vec), list(indices), k))
-    return df.withColumn(out or vec, expr)
+    if not isinstance(indices, Column):
+        return df.withColumn(out or vec, V.select_positions(F.col(vec), list(indices), k))
+    bound = df.withColumn("_ix", indices)  # a scalar subquery cannot stand inside a lambda
+    return bound.withColumn(out or vec, V.select_positions_col(F.col(vec), F.col("_ix"), k)).drop("_ix")
 
 
 def fill_missing(ids: DataFrame, rows: DataFrame, key: str = "id", width: int = 100,

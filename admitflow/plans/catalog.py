@@ -42,6 +42,7 @@ AFF_VAR = [150.0, 3.9e8, 0.001, 0.0007, 0.1, 0.2, 0.2, 0.2]
 AFF_GAMMA = [1.0, 0.5, 2.0, 1.0, 1.0, 1.5, 1.0, 0.5]
 AFF_BETA = [0.0, 0.1, -0.1, 0.0, 0.2, 0.0, 0.0, -0.2]
 NOISE_STD, NOISE_SEED = 0.05, 7
+NOTE_WIDTH = 64                        # TF-IDF width of the model's note branch
 RANGE_PARTS = 8
 # -----------------------------------------------------------------------------
 
@@ -555,18 +556,25 @@ def pooled_embeddings(spark, d):
         "note_id", big("dim").alias("dim"), r6("value").alias("value"))
 
 
-def _model_rows(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Pooled, scaled day features + note count per cohort id."""
+def _model_rows(spark, d) -> DataFrame:
+    """``id, split, label, features`` of the curated train and valid ids and of
+    all test ids: pooled scaled days joined end to end with the pooled TF-IDF
+    vector of the subject's notes (zeros without an own note)."""
     c = fx.cohort(spark, d)
+    labelled = labels.curate(fx.label_rows(spark, d).filter("split != 'test'"), by=["split"]).select("id", "label")
+    ids = labelled.unionByName(_test_ids(spark, d).select("id", F.lit(None).cast("int").alias("label")))
+    head = asm.heads(c.drop("label").join(ids, "id"), fx.note_keys(spark, d))
     pooled = seq.mean_pool(_scaled_days(spark, d, index=False), "id", "features")
-    rel = notes.related_subjects(c.select("id"), fx.note_keys(spark, d))
-    rows = (c.join(pooled, "id", "left").join(rel, "id")
-            .select("id", "split", "label",
-                    V.concat(F.coalesce(F.col("features"), V.zeros(DAY_WIDTH)),
-                             F.array(F.log1p(F.col("n_notes").cast("double")))).alias("features")))
-    # fit and scoring both read these rows: checkpoint them once (shared folder)
-    rows = cut_lineage(rows)
-    return rows.filter(F.col("split") != "test"), rows.filter(F.col("split") == "test")
+    texts = fx.note_texts(spark, d)
+    sparse, _ = tx.fit_transform(texts, "note_id", "text", NOTE_WIDTH)
+    by_subject = seq.mean_pool(tx.densify(sparse, texts, NOTE_WIDTH, "note_id", "vec").join(
+        fx.note_keys(spark, d).select("note_id", "subject"), "note_id"), "subject", "vec")
+    vec = F.when(F.col("has_note"), F.coalesce("vec", V.zeros(NOTE_WIDTH))).otherwise(V.zeros(NOTE_WIDTH))
+    rows = head.join(pooled, "id", "left").join(by_subject, "subject", "left").select(
+        "id", "split", F.col("label").cast("int").alias("label"),
+        V.concat(F.coalesce(F.col("features"), V.zeros(DAY_WIDTH)), vec).alias("features"))
+    # fits and scoring all read these rows: checkpoint them once (shared folder)
+    return cut_lineage(rows)
 
 
 @query
@@ -579,18 +587,53 @@ def select_features(spark, d):
                       r6("importance").alias("importance"))
 
 
+@query
+def selected_rows(spark, d):
+    """M1 end to end: the selected positions of every day row of every split,
+    scaled with the statistics of the train ids. Which positions they are is
+    the forest's matter; per row the number of positions and whether they are
+    finite is told."""
+    days = cut_lineage(fx.day_vectors_64(spark, d))
+    lab = _curated(spark, d, "train")
+    sel = selection.select_features(lab, days, SELECT_K, trees=20, seed=42, max_depth=10)
+    own = seq.slice_features(days, selection.selected_indices(sel), SELECT_K)
+    stats = seq.fit_scaler(own.join(lab.select("id"), "id", "left_semi"), "features", ddof=0)
+    out = seq.standardise(own, stats, "features", zero_std="one")
+    return out.select("id", F.col("day").cast("string").alias("day"), big(F.size("features")).alias("n_selected"),
+                      F.forall("features", lambda x: x.isNotNull() & ~F.isnan(x)).alias("complete"))
+
+
 @query
 def fit_and_score(spark, d):
-    """M2 + M3: weighted logistic model on train, scores for every test id."""
-    train, test = _model_rows(spark, d)
-    model = modeling.fit(modeling.with_class_weight(train.filter(F.col("split") == "train")))
-    return modeling.assert_complete(
-        modeling.join_predictions(_test_ids(spark, d), modeling.score(model, test))).select("id", "score")
+    """M2 + M3: weighted logistic candidates on train, the best by validation
+    AUC, its scores for every test id."""
+    rows = _model_rows(spark, d)
+    part = lambda s: rows.filter(F.col("split") == s)
+    model, _ = modeling.select_model(part("train"), part("valid"))
+    scores = modeling.score(model, part("test"))
+    return modeling.assert_complete(modeling.join_predictions(_test_ids(spark, d), scores)).select("id", "score")
+
+
+@query
+def candidate_report(spark, d):
+    """M2: the validation rows that each candidate is scored on, and whether its
+    AUC is a probability."""
+    rows = _model_rows(spark, d)
+    _, steps = modeling.select_model(rows.filter("split = 'train'"), rows.filter("split = 'valid'"))
+    return steps.select(big("step").alias("step"), "n_pos", "n_neg", F.col("auc").between(0, 1).alias("auc_in_range"))
 
 
 @query
 def kfold_ensemble(spark, d):
     """M4 + U2 + A12: 10-fold fits on train + valid, test scores averaged."""
-    train, test = _model_rows(spark, d)
-    preds = modeling.fit_kfold(train, test, K_FOLDS, FOLD_SEED)
+    rows = _model_rows(spark, d)
+    preds, _ = modeling.fit_kfold(rows.filter("split != 'test'"), rows.filter("split = 'test'"), K_FOLDS, FOLD_SEED)
     return modeling.ensemble_mean(preds, K_FOLDS).select("id", "score")
+
+
+@query
+def kfold_report(spark, d):
+    """M4 + P10: the held-out rows of each fold, by label."""
+    rows = _model_rows(spark, d)
+    _, auc = modeling.fit_kfold(rows.filter("split != 'test'"), rows.filter("split = 'test'"), K_FOLDS, FOLD_SEED)
+    return auc.select(big("model_id").alias("fold"), "n_pos", "n_neg", F.col("auc").between(0, 1).alias("auc_in_range"))

@@ -117,7 +117,10 @@ def test_fit_kfold_and_user_scorer(spark):
     rows = [(str(i), [rnd.random(), rnd.random()], int(rnd.random() > 0.5)) for i in range(200)]
     train = spark.createDataFrame(rows, "id string, features array<double>, label int")
     test = train.limit(20).select("id", "features")
-    preds = modeling.fit_kfold(train, test, k=3)
+    preds, auc = modeling.fit_kfold(train, test, k=3, per_fold=True)
+    assert sorted(r.n_pos + r.n_neg for r in auc.collect()) == [66, 67, 67]
+    model, steps = modeling.select_model(train.limit(120), train.limit(80))
+    assert steps.count() == 3 and modeling.score(model, test).count() == 20
     assert preds.count() == 60
     assert modeling.ensemble_mean(preds, 3).count() == 20
     scored = modeling.score_with(test, lambda pdf: [sum(v) for v in pdf["features"]])
