@@ -61,7 +61,7 @@ def op4_jaccard_join(spark, sf_dir):
 @query
 def op5_toxicity(spark, sf_dir):
     """Toxicity of every document, learned outside the held-out third."""
-    docs, held_out = table(spark, sf_dir, "documents"), samples.fold(F.col("doc_id"), 3) == 1
+    docs, held_out = table(spark, sf_dir, "documents"), F.coalesce(samples.fold(F.col("doc_id"), 3) == 1, F.lit(False))
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), train_on=samples.fold(F.col("id"), 3) != 1)
     rows = toxicity.score_documents(docs, model)
     return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
@@ -99,7 +99,7 @@ def op8_decontamination(spark, sf_dir):
 @query
 def op9_quality(spark, sf_dir):
     """Quality of every document, learned outside the held-out fifth."""
-    docs, held_out = table(spark, sf_dir, "documents"), samples.fold(F.col("doc_id"), 5) == 0
+    docs, held_out = table(spark, sf_dir, "documents"), F.coalesce(samples.fold(F.col("doc_id"), 5) == 0, F.lit(False))
     model = quality.fit(docs, table(spark, sf_dir, "labels"), train_on=samples.fold(F.col("id"), 5) != 0)
     rows = quality.score_documents(docs.select("doc_id", "text"), model)
     return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
