@@ -141,3 +141,11 @@ def test_cluster_without_checkpoint_folder_fails(monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.ensure_checkpoint_dir(Session())
+
+
+def test_a_continuous_label_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(modeling, "MAX_CLASSES", 3)
+    df = spark.range(10).select(F.col("id").alias("label"))
+    with pytest.raises(Exception, match="more than 3 values"):
+        modeling.with_class_weight(df).collect()
+    assert modeling.with_class_weight(df.select((F.col("label") % 2).alias("label"))).count() == 10
