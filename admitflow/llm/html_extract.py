@@ -39,11 +39,11 @@ LIMIT, SEED = 300, 5
 TREES, DEPTH, BINS, RATE, LEAST_LEAF = 40, 4, 32, 0.3, 20
 
 # fixed values: element names
-BLOCKS = set("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure
+BLOCKS = set("""address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure
 footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section
 summary table tbody td tfoot th thead tr ul""".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|iframe|textarea|select|button|svg|math|object|canvas|audio|video|title|head"
+RAW = "script|style|noscript|template|iframe|textarea|select|svg|math|object|canvas|audio|video|title"
 GROUPS = [["p"], ["h1"], ["h2", "h3", "h4", "h5", "h6"], ["li", "dd", "dt"], ["ul", "ol", "dl", "menu"], ["div"],
           ["section"], ["article"], ["main"], ["aside"], ["nav"], ["header"], ["footer"],
           ["table", "tbody", "thead", "tr", "td", "th"], ["form", "fieldset"], ["blockquote", "pre"],
@@ -107,7 +107,7 @@ def parse(source: str | None) -> Page:
         at = m.end()
         tag = m["tag"]
         if tag is None:
-            if m["raw"] and m["raw"].lower() in ("title", "head"):
+            if m["raw"] and m["raw"].lower() == "title":
                 flush()
             continue
         tag = tag.lower()

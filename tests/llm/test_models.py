@@ -131,13 +131,14 @@ def test_extraction_of_other_pages(spark):
 def test_extraction_edges(spark):
     model = html_extract.fit(spark.read.parquet(f"{SF}/pages.parquet"))
     pages = [None, "", "no markup at all", "<article><p>one  <b>two</b>\n three<p>four &lt;b&gt; &am", "<article><h1>x</h1><p>cut <a hr",
-             "<p></p></div></article>", "<article>" + "<div>" * 300 + "deep" + "</div>" * 300 + "</article>", "<article><p>" + "long " * 100000]
+             "<p></p></div></article>", "<article>" + "<div>" * 300 + "deep" + "</div>" * 300 + "</article>", "<article><p>" + "long " * 100000, "<html><head><title>t</title><body><nav><ul><li><a href='/'>x</a></li><li><a href='/y'>y</a></li></ul></nav><article><h1>no end of head</h1><p>" + "some words. " * 30 + "</p></article><footer>f</footer>"]
     df = spark.createDataFrame([(1, "u", p, 5, "t") for p in pages], "page_id long, url string, html string, n_chars int, text string")
     got = [r["text"] for r in html_extract.extract(df, model).collect()]
     assert got[0] == got[1] == "" and got[5] == ""
     assert got[3] == "one two three\nfour <b> &am"
     assert got[4] == "x\ncut"
     assert len(got[7]) == 499999
+    assert got[8] == "no end of head\n" + ("some words. " * 30).strip()
     assert html_extract.extract(df.limit(0), html_extract.fit(df.limit(0))).count() == 0
 
 
