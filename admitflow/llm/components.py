@@ -13,27 +13,33 @@ from pyspark.sql import functions as F
 
 from admitflow.session import cut_lineage
 
+PART_LINKS = 50_000  # links of a partition between rounds
 
 def _state(links: DataFrame) -> tuple:
     r = links.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
     return r["n"], r["s"]
 
 
-def components(links: DataFrame, a: str, b: str) -> DataFrame:
+def components(links: DataFrame, a: str, b: str, rounds: int | None = None) -> DataFrame:
     """``node, component`` of every linked node; the component is named by its
-    smallest node."""
+    smallest node. After ``rounds`` rounds the work may stop early: nodes of one
+    name are connected then, but a component may still have several names."""
     e = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct()
     e = cut_lineage(e)
-    state = _state(e)
-    while state[0]:
+    state, done = _state(e), 0
+    parts = max(1, -(-state[0] // PART_LINKS))  # few links need few tasks and files
+    while state[0] and (rounds is None or done < rounds):
+        done += 1
+        e = e.coalesce(parts)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut_lineage(hung.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        before, state = state, _state(e)
-        if state == before:
-            break
-    own = e.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(own)
+        e = cut_lineage(hung.unionByName(low.select("u", F.col("m").alias("v"))).distinct().coalesce(parts))
+        if rounds is None:
+            before, state = state, _state(e)
+            if state == before:
+                break
+    both = e.unionByName(e.select(F.col("v").alias("u"), "v"))
+    return both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))

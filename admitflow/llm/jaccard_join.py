@@ -332,7 +332,8 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pairs = found.filter("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
     tested = _verify(_suffix_filter(pairs, sets, percent), sets, percent)
     for every in (False, True):
-        comps = components(tested.filter("link"), "a", "b")
+        # two rounds name most of each component; the rest only costs some pairs
+        comps = components(tested.filter("link"), "a", "b", rounds=2)
         more = _open_pairs(entries, comps, sets, percent, every, buckets).join(tested, ["a", "b"], "left_anti")
         tested = tested.unionByName(_verify(more, sets, percent))
     links = tested.filter("link").select("a", "b")
