@@ -15,6 +15,7 @@ from admitflow.session import cut_lineage
 
 PART_LINKS = 50_000  # links of a partition between rounds
 
+
 def _state(links: DataFrame) -> tuple:
     r = links.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
     return r["n"], r["s"]
