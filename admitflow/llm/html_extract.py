@@ -16,7 +16,11 @@ Text rules: character references are decoded, white space inside a block
 becomes one space, blocks are trimmed and joined by one line break.
 
 Edge cases: a null or empty page has an empty text; broken, unclosed and
-truncated markup is read as far as it goes; without pages that have a labelled
+truncated markup is read as far as it goes; script, style, textarea, title and
+iframe reach to their end tag, or to the end of the page without one; the
+contents of ``HIDDEN`` elements are left out up to their "/>", their end tag or
+the end of the block around them, and the text behind them stays; formulas in
+math elements are text; without pages that have a labelled
 element the trees learn from the renamed attribute tokens alone or, if there is
 nothing to learn from, all blocks outside landmark elements are kept; extra
 columns are dropped; repeated rows give the same text.
@@ -43,7 +47,8 @@ BLOCKS = set("""address article aside blockquote body button center dd details d
 footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section
 summary table tbody td tfoot th thead tr ul""".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|iframe|textarea|select|svg|math|object|canvas|audio|video|title"
+RAW = "script|style|textarea|title|iframe"
+HIDDEN = set("annotation annotation-xml audio canvas noscript object select svg template video".split())
 GROUPS = [["p"], ["h1"], ["h2", "h3", "h4", "h5", "h6"], ["li", "dd", "dt"], ["ul", "ol", "dl", "menu"], ["div"],
           ["section"], ["article"], ["main"], ["aside"], ["nav"], ["header"], ["footer"],
           ["table", "tbody", "thead", "tr", "td", "th"], ["form", "fieldset"], ["blockquote", "pre"],
@@ -63,9 +68,11 @@ _TOKEN_GROUP = {t: k for k, words in enumerate(TOKENS.values()) for t in words.s
 _TAG_GROUP = {t: k for k, tags in enumerate(GROUPS) for t in tags}
 _LANDMARK_OFF = {"aside", "nav", "header", "footer", "form"}
 
-_PIECE = re.compile(rf"<!--.*?(?:-->|$)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|$)|<[!?][^>]*>|"
+_PIECE = re.compile(rf"<!--.*?(?:-->|$)|<(?P<raw>{RAW})(?=[\s/>])(?P<rest>[^>]*)>|<[!?][^>]*>|"
                     r"<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[a-zA-Z/!?][^>]*$",
                     re.S | re.I)
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|$)", re.I) for t in RAW.split("|")}
+INLINE, INSIDE, CLOSED, OPEN = -1, -2, -3, -4  # stack marks: inline, a block in a hidden element, hidden with and without an end tag
 _ATTR = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|[^A-Za-z]+")
 ON, OFF = "data-learn-on", "data-learn-off"  # marks of training pages
@@ -81,13 +88,51 @@ class Page:
     segments: list[tuple[int, str, int]] = field(default_factory=list)  # node, text, characters in links
 
 
+def _pieces(source: str) -> list[tuple[int, int, str, str, bool]]:
+    """``start, end, tag, attributes, is an end tag`` of all markup; a raw
+    element is one piece, and what is no element has an empty tag."""
+    out, at, foreign = [], 0, 0
+    while m := _PIECE.search(source, at):
+        at = m.end()
+        if m["raw"]:
+            tag = m["raw"].lower()
+            if not (foreign > 0 and m["rest"].endswith("/")):  # svg has self-closing ones
+                end = _RAW_END[tag].search(source, at)
+                at = end.end() if end else len(source)
+            out.append((m.start(), at, tag, "", False))
+        elif m["tag"]:
+            tag, attrs = m["tag"].lower(), m["attrs"]
+            if tag in HIDDEN and attrs and attrs[0] not in " \t\n\r\f/":
+                tag += "-"  # a longer name with signs that the pattern does not know
+            if tag in ("svg", "math") and not attrs.endswith("/"):
+                foreign += -1 if m["end"] else 1
+            out.append((m.start(), at, tag, attrs, bool(m["end"])))
+        else:
+            out.append((m.start(), at, "", "", False))
+    return out
+
+
+def _closed(pieces: list[tuple[int, int, str, str, bool]]) -> set[int]:
+    """Hidden elements that have an end tag of their own, by their piece."""
+    waiting, found = {}, set()
+    for k, (_, _, tag, attrs, end) in enumerate(pieces):
+        if tag in HIDDEN:
+            if not end and not attrs.endswith("/"):
+                waiting.setdefault(tag, []).append(k)
+            elif end and waiting.get(tag):
+                found.add(waiting[tag].pop())
+    return found
+
+
 def parse(source: str | None) -> Page:
-    page, stack, at, links, held, linked = Page(), [("html", 0)], 0, 0, [], 0
+    page, stack, at, links, held, linked, hidden = Page(), [("html", 0)], 0, 0, [], 0, 0
     source = source or ""
+    pieces = _pieces(source)
+    closed = _closed(pieces)
 
     def text(chunk: str) -> None:
         nonlocal linked
-        if chunk:
+        if chunk and not hidden:
             held.append(chunk)
             linked += len(chunk) if links else 0
 
@@ -102,46 +147,66 @@ def parse(source: str | None) -> Page:
             held.clear()
             linked = 0
 
-    for m in _PIECE.finditer(source):
-        text(source[at:m.start()])
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
-            if m["raw"] and m["raw"].lower() == "title":
+    def cut(depth: int) -> None:
+        nonlocal links, hidden
+        links -= sum(t == "a" for t, _ in stack[depth:])
+        hidden -= sum(n <= CLOSED for _, n in stack[depth:])
+        del stack[depth:]
+
+    def implied_end(tag: str) -> int:
+        """Place of the element that the start of block ``tag`` ends, or 0."""
+        closes = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(tag, ())
+        for k in range(len(stack) - 1, 0, -1):
+            name, n = stack[k]
+            if n in (INSIDE, CLOSED):
+                return 0
+            if name == "p" or name in closes or (tag == "body" and n == OPEN):
+                return k
+            if n >= 0:
+                return 0
+        return 0
+
+    for k, (start, end, tag, attrs, is_end) in enumerate(pieces):
+        text(source[at:start])
+        at = end
+        if tag in _RAW_END:
+            if tag == "title" and not hidden:
                 flush()
+        elif not tag:
             continue
-        tag = tag.lower()
-        if m["end"]:
+        elif is_end:
             depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
             if depth:
                 if any(n >= 0 for _, n in stack[depth:]):
                     flush()
-                links -= sum(t == "a" for t, _ in stack[depth:])
-                del stack[depth:]
+                cut(depth)
         elif tag in VOID:
-            if tag == "hr":
+            if tag == "hr" and not hidden:
                 flush()
             else:
                 text(" ")
         elif tag in BLOCKS:
+            depth = implied_end(tag)
+            if hidden and not depth:
+                if not attrs.endswith("/"):
+                    stack.append((tag, INSIDE))
+                continue
             flush()
-            closes = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(tag, ())
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p" or stack[k][0] in closes:
-                    links -= sum(t == "a" for t, _ in stack[k:])
-                    del stack[k:]
-                    break
-                if stack[k][1] >= 0:
-                    break
+            if depth:
+                cut(depth)
             page.tag.append(tag)
-            page.attrs.append(m["attrs"])
+            page.attrs.append(attrs)
             page.parent.append(next(n for _, n in reversed(stack) if n >= 0))
-            if not m["attrs"].endswith("/"):
+            if not attrs.endswith("/"):
                 stack.append((tag, len(page.tag) - 1))
+        elif tag in HIDDEN:
+            if not attrs.endswith("/"):
+                stack.append((tag, CLOSED if k in closed else OPEN))
+                hidden += 1
         else:
             if tag == "a":
                 links += 1
-            stack.append((tag, -1))
+            stack.append((tag, INLINE))
     text(source[at:])
     flush()
     return page

@@ -147,3 +147,27 @@ def test_decoding_is_hierarchical(odds):
     page = html_extract.parse("<div>aaaa<div>bbbb<p>cccc</p></div></div>")
     kept = html_extract.decode(page, np.array(odds, dtype=float))
     assert all(not kept[i] or kept[page.parent[i]] or page.parent[i] == 0 or odds[page.parent[i]] <= 0 for i in range(1, 4))
+
+
+@pytest.mark.parametrize("page, want", [
+    ('<nav><svg class="i"/></nav><article><p>one two</p></article>', ["one two"]),
+    ("<nav><svg class=i/></nav><p>a <math/> b <math><mi>x</mi><annotation>tex</annotation></math> c</p>", ["a b x c"]),
+    ("<div><video src=x></div><p>behind</p>", ["behind"]),
+    ("<p>one <object data=x> gone<p>two<div><canvas></div><p>three", ["one", "two", "three"]),
+    ("<ul><li>a <audio src=x><li>b</ul><p>c <select><option>o<option>q</select> d", ["a", "b", "c d"]),
+    ("<head><noscript><link rel=x><body><p>text</p>", ["text"]),
+    ("<p>u <video a></p><p>v</p><video b><p>old browser</p></video><template><div>t</div></template><p>w", ["u", "v", "w"]),
+    ("<object-x>a</object-x> <template-card>b</template-card> <video-player>c</video-player> <select-box>d</select-box> <title-x>e", ["a b c d e"]),
+    ("<svg><title/><style/><path/></svg><p>a<svg><title>t</title></svg>b</p><script>'<p>no</p>'</script ><p>c", ["ab", "c"]),
+])
+def test_elements_without_main_text_end(page, want):
+    assert [t for _, t, _ in html_extract.parse(page).segments] == want
+
+
+def test_extraction_behind_hidden_elements(spark):
+    model = html_extract.fit(spark.read.parquet(f"{SF}/pages.parquet"))
+    body = "<article><h1>head</h1><p>" + "some words. " * 30 + "{}</p><p>" + "more words. " * 30 + "</p></article><footer>f</footer>"
+    pages = ["<nav><svg class='i'/></nav>" + body.format(""), body.format("<video src=x>"), body.format("<x-object>") + "<select-box>"]
+    df = spark.createDataFrame([(k, "u", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    want = "\n".join(["head", ("some words. " * 30).strip(), ("more words. " * 30).strip()])
+    assert [r["text"] for r in html_extract.extract(df, model).orderBy("page_id").collect()] == [want] * 3
