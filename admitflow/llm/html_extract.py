@@ -401,9 +401,11 @@ def variants(source: str, seed: int) -> list[str]:
 
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", limit: int = LIMIT, seed: int = SEED) -> Trees:
-    """Trains on ``limit`` pages at most, chosen by the hash of their source."""
-    own = pages.select(F.col(html_col).cast("string").alias("html")).filter("html IS NOT NULL")
-    sample = own.orderBy(F.xxhash64(F.lit(seed), "html")).limit(limit)
+    """Trains on ``limit`` different pages at most, chosen by the hash of their
+    source; copies of a page count once and empty pages not at all."""
+    own = pages.select(F.col(html_col).cast("string").alias("html")).filter("html != ''").withColumn("h", F.xxhash64(F.lit(seed), "html"))
+    first = own.select("h").distinct().orderBy("h").limit(limit)  # hashes alone are dealt out; the limit bounds the broadcast
+    sample = own.join(F.broadcast(first), "h").groupBy("h").agg(F.min("html").alias("html")).orderBy("h").limit(limit).select("html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -140,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_on: Column | None = None, labe
     if not prior:
         return Model(np.zeros(0, np.uint64), np.zeros((0, 0)), np.zeros(0))
     positive = samples.draw(known.filter("label = 1").select("id", F.lit(1).alias("kind")), limit, seed)
-    ids = docs.select(F.col(id_col).cast("long").alias("id")).filter("id IS NOT NULL").filter(chosen)
+    ids = docs.select(F.col(id_col).cast("long").alias("id")).filter("id IS NOT NULL").filter(chosen).distinct()
     unlabelled = samples.draw(ids.select("id", F.lit(0).alias("kind")), limit, seed + 1)
     texts = samples.texts_of(docs, positive.unionByName(unlabelled), id_col, text_col).select("id", "kind", "text")
 

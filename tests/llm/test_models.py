@@ -171,3 +171,20 @@ def test_extraction_behind_hidden_elements(spark):
     df = spark.createDataFrame([(k, "u", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
     want = "\n".join(["head", ("some words. " * 30).strip(), ("more words. " * 30).strip()])
     assert [r["text"] for r in html_extract.extract(df, model).orderBy("page_id").collect()] == [want] * 3
+
+
+def test_copies_of_a_page_count_once_in_training(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").limit(20)
+    rows = [(r["page_id"], r["url"], r["html"]) for r in pages.collect()]
+    copies = [(1000 + k, "u", h) for k in range(15) for _, _, h in rows[:3]] + [(2000 + k, "u", "") for k in range(30)]
+    schema = "page_id long, url string, html string"
+    alone, many = (html_extract.fit(spark.createDataFrame(r, schema).repartition(3), limit=10) for r in (rows, rows + copies))
+    assert alone.base == many.base and all((x == y).all() for x, y in zip(alone.leaf, many.leaf, strict=True))
+
+
+def test_unlabelled_sample_counts_an_id_once(spark):
+    rows, labels = made_toxic(5, 300)
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    repeated = rows + [rows[k] for k in range(40) for _ in range(30)]
+    alone, many = (toxicity.fit(C.docs(spark, r), marks, limit=100) for r in (rows, repeated))
+    assert (alone.keys == many.keys).all() and np.allclose(alone.weights, many.weights)
