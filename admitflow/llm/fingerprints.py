@@ -1,7 +1,11 @@
 """Winnowed fingerprints of whole texts, in DataFrame functions only.
 
-A text's tokens are its runs of non-space characters, cut at ``TOKEN_CHARS``
-code points so that scripts without spaces have tokens too. Every ``k``
+A text's tokens are its runs of non-space characters. A run of more than
+``TOKEN_CHARS`` code points is cut by its content, not by a stride: behind every
+code point outside ASCII, punctuation mark, vowel and one of the digits 0, 2, 5
+and 8 (``ENDS``), and after ``TOKEN_CHARS`` code points without any. Text of a
+script without spaces thus has one token per code point, and one that is put in
+moves no cut behind the next of those signs. Every ``k``
 consecutive tokens give a rolling k-gram hash; from every window of ``w``
 consecutive hashes the smallest is chosen, the rightmost on ties, and its
 position is kept. Two texts that share ``w + k - 1`` tokens in a row therefore
@@ -26,6 +30,8 @@ from pyspark.sql import functions as F
 from admitflow.session import shuffle_partitions
 
 K, WINDOW, TOKEN_CHARS = 3, 4, 12
+ENDS = r"aeiouyAEIOUY0258\p{Punct}\P{ASCII}"  # signs that end a token of a long run
+_TOKEN = r"(?<!\S)\S{1,%d}+(?!\S)|[^\s%s]{0,%d}+[%s]|[^\s%s]{1,%d}" % (TOKEN_CHARS, ENDS, TOKEN_CHARS - 1, ENDS, ENDS, TOKEN_CHARS)
 _POSITIONS = 1 << 32
 
 
@@ -41,7 +47,7 @@ def winnow(df: DataFrame, text_col: str, out: str, k: int = K, window: int = WIN
     the order of their positions."""
     if window & (window - 1):
         raise ValueError("window must be a power of two")
-    found = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"\S{1,%d}" % TOKEN_CHARS), F.lit(0))
+    found = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(_TOKEN), F.lit(0))
     tokens = F.transform(found, lambda t: F.xxhash64(t))
     df = df.withColumn("_t", tokens)
     t = F.col("_t")

@@ -175,3 +175,16 @@ def test_likeness(spark):
         fingerprints.likeness(F.col("a"), F.col("b")).alias("x"), fingerprints.likeness(F.col("n"), F.col("n")).alias("y"),
         fingerprints.likeness(F.col("a"), F.col("n")).alias("z")).first()
     assert (row["x"], row["y"], row["z"]) == (0.5, 1.0, 0.0)
+
+
+@pytest.mark.parametrize("signs", ["日本語文章東京大学研究者発表新資料", "กขคงจฉชซฌญฎฏฐฑฒณดตถท", "abcdefghijklmnopqrstuvwxyzABCDEFG0123456789+/", "0123456789abcdef"])
+def test_long_runs_do_not_depend_on_where_they_start(spark, signs):
+    import random
+    rng = random.Random(9)
+    run = lambda n: "".join(rng.choice(signs) for _ in range(n))
+    base, shared = run(400), run(60)
+    pairs = [(base, "x" + base), (base, signs[0] + base), (run(41) + shared + run(30), run(52) + shared + run(7))]
+    df = fingerprints.winnow(fingerprints.winnow(spark.createDataFrame(pairs, "a string, b string"), "a", "fa"), "b", "fb")
+    fa, fb = fingerprints.hashes(F.col("fa")), fingerprints.hashes(F.col("fb"))
+    near = df.select(fingerprints.likeness(fa, fb).alias("near"), F.size(F.array_intersect(fa, fb)).alias("n")).collect()
+    assert near[0]["near"] > 0.9 and near[1]["near"] > 0.9 and near[2]["n"] >= 3
