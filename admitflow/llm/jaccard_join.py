@@ -20,6 +20,12 @@ Two documents link when 100 * |x & y| >= 80 * |x | y| over their sets of
    the filters. A pair is verified once, and none inside a component that is
    linked already, so a group of near copies does not cost all its pairs.
 
+A hash that more than BLOCK entries hold is dealt out by class, so no task sees
+all its entries: neighbours are taken inside a part, and the last round forms
+blocks of about BLOCK entries of one hash, size band and, where one holds much
+of it, component; every pair of blocks whose sizes fit and whose components
+differ is one group of a task. Walks step over runs of one component.
+
 Edge cases: a text of fewer than n words is one shingle; texts without words
 are empty, have size 0 and link with nothing; rows with a null id link with
 nothing and have a null component; rows of one id form one component; extra
@@ -45,6 +51,8 @@ SLICE_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 2 << 20, 16 << 20, 64
 BLOOM_BITS = 1 << 26                     # a filter before a join; its size is fixed
 SIGNATURE = 4                            # 64-bit words of parities
 PARTNERS, NEAR = 4, 64                   # partners of an entry, and how far they may stand, before the last round
+BLOCK = 4096                             # entries of a hash that meet in one group
+HOT = np.uint32(1 << 31)                 # mark of an entry whose hash is dealt out, beside its position
 
 
 def extra_prefix(n):
@@ -120,7 +128,7 @@ def _frequent(first: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _prefixes(rows: DataFrame, n: int, percent: int, frequent, buckets: int) -> DataFrame:
     """Per slice and bucket: prefix shingles with class, size and position."""
-    given = rows.sparkSession.sparkContext.broadcast(frequent)
+    given, block = rows.sparkSession.sparkContext.broadcast(frequent), BLOCK
 
     def run(batches):
         known, count = given.value
@@ -138,14 +146,18 @@ def _prefixes(rows: DataFrame, n: int, percent: int, frequent, buckets: int) ->
             pos = np.arange(len(row)) - np.searchsorted(row, row)
             size = s.size[row]
             front = pos < size - -(-percent * size // 100) + extra_prefix(size)
-            row, key, pos, size = row[front], key[front], pos[front], size[front]
-            bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+            row, key, pos, size, often = row[front], key[front], pos[front].astype(np.uint32), size[front], often[order][front]
+            spread, hot = key.copy(), often > block
+            part = wh.mix(s.cls[row[hot]].view(np.uint64) ^ key[hot]) % (often[hot] // block + 1).astype(np.uint64)
+            spread[hot] = wh.mix(key[hot] + part)
+            pos[hot] |= HOT
+            bucket = ((spread >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             found, lo = np.unique(bucket[order], return_index=True)
             hi = np.append(lo[1:], len(order))[:len(lo)]
             cut = lambda a: pa.array([a[order[i:j]].tobytes() for i, j in zip(lo, hi, strict=True)], pa.binary())
             yield pa.record_batch({"bucket": pa.array(found, pa.int32()), "token": cut(key), "cls": cut(s.cls[row]),
-                                   "n": cut(size.astype(np.uint32)), "pos": cut(pos.astype(np.uint32))})
+                                   "n": cut(size.astype(np.uint32)), "pos": cut(pos)})
 
     return rows.mapInArrow(run, "bucket int, token binary, cls binary, n binary, pos binary")
 
@@ -158,20 +170,27 @@ def _passes(n1, p1, n2, p2, percent: int):
 
 def _entries(prefixes: DataFrame, percent: int) -> DataFrame:
     """kind 0: entries (token, class, size, position) with a partner of fitting
-    length; kind 1: pairs of classes that stand side by side."""
+    length; kind 1: pairs of classes that stand side by side; kind 2: entries of
+    tokens with more than BLOCK, or of those dealt out, whose partners may be
+    elsewhere."""
+    block = BLOCK
+
     def run(table: pa.Table) -> pa.Table:
         col = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=t)
         token, cls, n, pos = col("token", np.int64), col("cls", np.int64), col("n", np.uint32), col("pos", np.uint32)
         order = np.lexsort((cls, n, token))
-        token, cls, n, pos = token[order], cls[order], n[order].astype(np.int64), pos[order].astype(np.int64)
+        token, cls, n, pos, hot = token[order], cls[order], n[order].astype(np.int64), (pos & ~HOT)[order].astype(np.int64), pos[order] >= HOT
         new = np.ones(len(token), dtype=bool)
         new[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
-        token, cls, n, pos = token[new], cls[new], n[new], pos[new]
+        token, cls, n, pos, hot = token[new], cls[new], n[new], pos[new], hot[new]
+        if len(token):
+            _, at, held = np.unique(token, return_inverse=True, return_counts=True)
+            hot = hot | (held[at] > block)
         beside = (token[1:] == token[:-1]) & (100 * n[:-1] >= percent * n[1:])
-        keep = np.zeros(len(token), dtype=bool)
+        keep = hot.copy()
         keep[1:] |= beside
         keep[:-1] |= beside
-        token, cls, n, pos = token[keep], cls[keep], n[keep], pos[keep]
+        token, cls, n, pos, hot = token[keep], cls[keep], n[keep], pos[keep], hot[keep]
         by_class = np.lexsort((cls, token))
         pairs = [np.zeros((0, 2), np.int64)]
         for order in (np.arange(len(token)), by_class):
@@ -182,7 +201,7 @@ def _entries(prefixes: DataFrame, percent: int) -> DataFrame:
         both = np.unique(both, axis=0) if len(both) else both
         k = len(both)
         join = lambda a, b: pa.array(np.concatenate([a, b]), pa.int64())
-        return pa.table({"kind": pa.array(np.repeat([0, 1], [len(token), k]), pa.int32()), "x": join(token, both[:, 0]),
+        return pa.table({"kind": pa.array(np.concatenate([2 * hot, np.ones(k)]).astype(np.int32)), "x": join(token, both[:, 0]),
                          "y": join(cls, both[:, 1]), "n": join(n, np.zeros(k, np.int64)), "pos": join(pos, np.zeros(k, np.int64))})
 
     return cut_lineage(prefixes.groupBy("bucket").applyInArrow(run, "kind int, x long, y long, n long, pos long"))
@@ -269,48 +288,132 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return cut_lineage(joined.mapInArrow(run, "a long, b long, link boolean"))
 
 
-def _open_pairs(entries: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, every: bool, buckets: int) -> DataFrame:
-    """Pairs across components that pass all filters: all of them, or some
-    partners of each entry."""
-    placed = entries.join(comps, F.col("cls") == F.col("node"), "left").select(
-        "token", "cls", "n", "pos", F.coalesce("component", "cls").alias("comp"))
-    mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
-    placed = placed.join(mixed, "token", "left_semi").join(sets.select("cls", "sig"), "cls")
-    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
-
+def _walk(token, cls, n, pos, comp, sig, percent: int, every: bool) -> np.ndarray:
+    """Pairs of entries of one token that pass all filters; an entry steps over
+    those of its own component that stand in a row."""
+    order = np.lexsort((cls, comp, n, token))
+    token, cls, n, pos, comp, sig = (v[order] for v in (token, cls, n, pos, comp, sig))
+    m = len(token)
+    ends = np.append(np.flatnonzero((token[1:] != token[:-1]) | (comp[1:] != comp[:-1])) + 1, m)
+    other = ends[np.searchsorted(ends, np.arange(m), side="right")] if m else np.zeros(0, np.int64)
+    out, taken, k = [], np.zeros(m, dtype=np.int64), 0
+    left, right = np.arange(m), other.copy()
+    while len(left) and (every or k < NEAR):
+        k += 1
+        ok = right < m
+        left, right = left[ok], right[ok]
+        ok = (token[left] == token[right]) & (100 * n[left] >= percent * n[right])  # sizes grow within a token
+        left, right = left[ok], right[ok]
+        differ = comp[left] != comp[right]
+        i, j = left[differ], right[differ]
+        ok = _passes(n[i], pos[i], n[j], pos[j], percent)
+        i, j = i[ok], j[ok]
+        ok = _near(n[i], sig[i], n[j], sig[j], percent)
+        if not every:
+            ok &= (taken[i] < PARTNERS) & (taken[j] < 4 * PARTNERS)
+        i, j = i[ok], j[ok]
+        np.add.at(taken, i, 1)
+        np.add.at(taken, j, 1)
+        out.append(np.sort(np.stack([cls[i], cls[j]], axis=1), axis=1))
+        if sum(map(len, out)) > 1_000_000:
+            out = [np.unique(np.concatenate(out), axis=0)]
+        right = np.where(differ, right + 1, other[right])
+    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+
+
+def _across(x: tuple, y: tuple, percent: int) -> np.ndarray:
+    """Pairs of an entry of block x and one of block y that pass all filters."""
+    out = [np.zeros((0, 2), np.int64)]
+    if len(x[0]) > len(y[0]):
+        x, y = y, x
+    cls, n, pos, comp, sig = y
+    for k in range(len(x[0])):
+        c, m, p, own, mark = (v[k] for v in x)
+        j = np.flatnonzero((comp != own) & _passes(m, p, n, pos, percent))
+        j = j[_near(m, mark, n[j], sig[j], percent)]
+        if len(j):
+            out.append(np.sort(np.stack([np.full(len(j), c), cls[j]], axis=1), axis=1))
+    return np.unique(np.concatenate(out), axis=0)
+
+
+def _near(n1, sig1, n2, sig2, percent: int):
+    """Suffix filter: the parities allow the needed overlap."""
+    return np.bitwise_count(sig1 ^ sig2).sum(axis=1) <= n1 + n2 - 2 * least_overlap(n1, n2, percent)
+
+
+def _pairs_of_groups(placed: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Pairs inside each ``bucket`` of entries: all of them, or those between its
+    sides 1 and 2 where it has such."""
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         col = lambda c: table.column(c).to_numpy()
-        token, cls, n, pos, comp = (col(c) for c in ("token", "cls", "n", "pos", "comp"))
         sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, SIGNATURE).view(np.uint64)
-        order = np.lexsort((cls, n, token))
-        token, cls, n, pos, comp, sig = (v[order] for v in (token, cls, n, pos, comp, sig))
-        out, taken, k = [], np.zeros(len(token), dtype=np.int64), 0
-        live = np.arange(len(token))
-        while len(live) and (every or k < NEAR):
-            k += 1
-            live = live[live + k < len(token)]
-            i, j = live, live + k
-            live = live[(token[i] == token[j]) & (100 * n[i] >= percent * n[j])]  # sizes grow within a token
-            i, j = live, live + k
-            ok = comp[i] != comp[j]
-            i, j = i[ok], j[ok]
-            ok = _passes(n[i], pos[i], n[j], pos[j], percent)
-            i, j = i[ok], j[ok]
-            apart = np.bitwise_count(sig[i] ^ sig[j]).sum(axis=1)
-            ok = apart <= n[i] + n[j] - 2 * least_overlap(n[i], n[j], percent)
-            if not every:
-                ok &= (taken[i] < PARTNERS) & (taken[j] < 4 * PARTNERS)
-            i, j = i[ok], j[ok]
-            np.add.at(taken, i, 1)
-            np.add.at(taken, j, 1)
-            out.append(np.sort(np.stack([cls[i], cls[j]], axis=1), axis=1))
-            if sum(map(len, out)) > 1_000_000:
-                out = [np.unique(np.concatenate(out), axis=0)]
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        cols, side = (*(col(c) for c in ("cls", "n", "pos", "comp")), sig), col("side")
+        if side.any():
+            pairs = _across(*(tuple(v[side == k] for v in cols) for k in (1, 2)), percent)
+        else:
+            pairs = _walk(col("token"), *cols, percent, every)
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
-    return placed.groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
+    rows = placed.select("bucket", "token", "cls", F.col("n").cast("long").alias("n"), "pos", "comp", "sig", F.col("side").cast("int").alias("side"))
+    return rows.groupBy("bucket").applyInArrow(run, "a long, b long")
+
+
+def _block_pairs(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Groups of the last round for tokens with many entries: each is a block,
+    or two blocks as sides 1 and 2."""
+    # similar sizes are in one band or in two beside each other
+    placed = cut_lineage(placed.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")))
+    held = placed.groupBy("token", "band", "comp").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    much = F.col("k") >= max(1, BLOCK // 2)
+    groups = held.withColumn("own", F.when(much, F.col("comp"))).groupBy("token", "band", "own").agg(
+        F.sum("k").alias("k"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    groups = groups.withColumn("parts", F.ceil(F.col("k") / BLOCK).cast("int"))
+    blocks = groups.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("block", F.monotonically_increasing_id())
+    blocks = cut_lineage(blocks)
+    x, y = (blocks.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("band", "own", "lo", "hi", "block")]) for k in (1, 2))
+    near = F.abs(F.col("band1") - F.col("band2")) <= 1
+    fits = (100 * F.col("hi1") >= percent * F.col("lo2")) & (100 * F.col("hi2") >= percent * F.col("lo1"))
+    differ = F.col("own1").isNull() | F.col("own2").isNull() | (F.col("own1") != F.col("own2"))
+    pairs = x.join(y, "token").filter((F.col("block1") <= F.col("block2")) & near & fits & differ)
+    pairs = cut_lineage(pairs.select("block1", "block2").withColumn("bucket", F.monotonically_increasing_id()))
+    # groups are bounded by the entries over BLOCK and the sizes of their bands
+    large = F.broadcast(held.filter(much).select("token", "band", F.col("comp"), F.col("comp").alias("own")))
+    rows = placed.join(large, ["token", "band", "comp"], "left")
+    rows = rows.join(F.broadcast(groups.select("token", "band", F.col("own").alias("_own"), "parts")), ["token", "band"]).filter(F.col("own").eqNullSafe(F.col("_own"))).drop("_own")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("cls", "token"), F.col("parts")).cast("int"))
+    named = blocks.select("token", "band", F.col("own").alias("_own"), "part", "block")
+    rows = rows.join(F.broadcast(named), ["token", "band", "part"]).filter(F.col("own").eqNullSafe(F.col("_own")))
+    rows = rows.select("block", "token", "cls", "n", "pos", "comp").join(sets.select("cls", "sig"), "cls")
+    alone = F.col("block1") == F.col("block2")
+    first = rows.join(pairs.withColumnRenamed("block1", "block"), "block").withColumn("side", F.when(F.col("block") == F.col("block2"), 0).otherwise(1)).drop("block2")
+    second = rows.join(pairs.filter(~alone).withColumnRenamed("block2", "block"), "block").withColumn("side", F.lit(2)).drop("block1")
+    return first.unionByName(second)
+
+
+def _open_pairs(entries: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, every: bool, buckets: int, hot: bool) -> DataFrame:
+    """Pairs across components that pass all filters: all of them, or some
+    partners of each entry. ``hot``: there are tokens with many entries."""
+    def mixed(kind: int) -> tuple[DataFrame, DataFrame]:
+        placed = entries.filter(F.col("kind") == kind).join(comps, F.col("cls") == F.col("node"), "left").select(
+            "token", "cls", "n", "pos", F.coalesce("component", "cls").alias("comp"))
+        tokens = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("held"))
+        return placed, tokens.filter("lo < hi").select("token", "held")
+
+    placed, tokens = mixed(0)
+    placed = placed.join(tokens, "token", "left_semi").join(sets.select("cls", "sig"), "cls")
+    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
+    pairs = _pairs_of_groups(placed.withColumn("side", F.lit(0)), percent, every)
+    if hot:
+        placed, tokens = mixed(2)
+        placed = placed.join(F.broadcast(tokens), "token")  # as many as entries over BLOCK, at most
+        if every:
+            placed = _block_pairs(placed.drop("held"), sets, percent)
+        else:
+            part = F.pmod(F.xxhash64("cls", "token"), F.ceil(F.col("held") / BLOCK))
+            placed = placed.withColumn("bucket", F.xxhash64("token", part)).withColumn("side", F.lit(0)).join(sets.select("cls", "sig"), "cls")
+        pairs = pairs.unionByName(_pairs_of_groups(placed, percent, every))
+    return pairs.distinct()
 
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM,
@@ -322,7 +425,8 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
     first = _first_pass(rows, ngram)
     found = _entries(_prefixes(rows, ngram, percent, _frequent(first), buckets), percent)
-    entries = found.filter("kind = 0").select(F.col("x").alias("token"), F.col("y").alias("cls"), "n", "pos")
+    entries = found.filter("kind != 1").select("kind", F.col("x").alias("token"), F.col("y").alias("cls"), "n", "pos")
+    hot = not found.filter("kind = 2").isEmpty()
     info = first.filter("kind = 0").select(F.col("a").alias("doc"), F.col("b").alias("n_shingles"), F.col("c").alias("cls"))
     # a partner may be smaller: ceil(0.8 n) shingles at least
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / 20))
@@ -334,7 +438,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     for every in (False, True):
         # two rounds name most of each component; the rest only costs some pairs
         comps = components(tested.filter("link"), "a", "b", rounds=2)
-        more = _open_pairs(entries, comps, sets, percent, every, buckets).join(tested, ["a", "b"], "left_anti")
+        more = _open_pairs(entries, comps, sets, percent, every, buckets, hot).join(tested, ["a", "b"], "left_anti")
         tested = tested.unionByName(_verify(more, sets, percent))
     links = tested.filter("link").select("a", "b")
     # rows of one id hold together: link the classes that share one

@@ -188,3 +188,36 @@ def test_long_runs_do_not_depend_on_where_they_start(spark, signs):
     fa, fb = fingerprints.hashes(F.col("fa")), fingerprints.hashes(F.col("fb"))
     near = df.select(fingerprints.likeness(fa, fb).alias("near"), F.size(F.array_intersect(fa, fb)).alias("n")).collect()
     assert near[0]["near"] > 0.9 and near[1]["near"] > 0.9 and near[2]["n"] >= 3
+
+
+@pytest.mark.parametrize("block", [3, 8])
+def test_jaccard_in_blocks(spark, monkeypatch, block):
+    """Tokens with many entries are dealt out; the result stays exact."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "LEAST_COUNT", 2)
+    groups = []
+    whole = jaccard_join._pairs_of_groups
+    monkeypatch.setattr(jaccard_join, "_pairs_of_groups", lambda placed, *a: groups.append(placed) or whole(placed, *a))
+    base = [f"w{k}" for k in range(90)]
+    rows = []
+    for i in range(50):
+        w = list(base) + [f"t{i % 3}_{k}" for k in range(i % 5 * 6)]
+        for k in range(i % 9):
+            w[(i * 7 + k * 31) % 90] = f"x{i}_{k}"
+        rows.append((i, " ".join(w)))
+    rows += [(100 + k, " ".join(base[:40] + [f"y{k}_{j}" for j in range(50)])) for k in range(4)]
+    got, _ = jaccard_join.link_documents(C.docs(spark, rows))
+    want, _ = C.brute_components(rows)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == want
+    most = [df.groupBy("bucket", "token").count().agg(F.max("count").alias("m")).first()["m"] for df in groups[1::2]]
+    assert len(groups) == 4 and max(m or 0 for m in most) <= 8 * block
+
+
+def test_walk_steps_over_one_component():
+    import numpy as np
+    m = 30_000
+    comp = np.zeros(m, np.int64)
+    comp[m // 2] = 1
+    n, zero = np.full(m, 100), np.zeros(m, np.int64)
+    pairs = jaccard_join._walk(zero, np.arange(m), n, zero, comp, np.zeros((m, jaccard_join.SIGNATURE), np.uint64), 80, True)
+    assert len(pairs) == m - 1 and (pairs == m // 2).any(axis=1).all()
