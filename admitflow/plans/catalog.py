@@ -42,7 +42,6 @@ AFF_VAR = [150.0, 3.9e8, 0.001, 0.0007, 0.1, 0.2, 0.2, 0.2]
 AFF_GAMMA = [1.0, 0.5, 2.0, 1.0, 1.0, 1.5, 1.0, 0.5]
 AFF_BETA = [0.0, 0.1, -0.1, 0.0, 0.2, 0.0, 0.0, -0.2]
 NOISE_STD, NOISE_SEED = 0.05, 7
-NOTE_WIDTH = 64                        # TF-IDF width of the model's note branch
 RANGE_PARTS = 8
 # -----------------------------------------------------------------------------
 
@@ -556,23 +555,45 @@ def pooled_embeddings(spark, d):
         "note_id", big("dim").alias("dim"), r6("value").alias("value"))
 
 
+def _selected_days(spark, d) -> DataFrame:
+    """M1: the selected positions of every 64-wide day row, scaled with the
+    statistics of the train ids."""
+    days = cut_lineage(fx.day_vectors_64(spark, d))
+    lab = _curated(spark, d, "train")
+    sel = selection.select_features(lab, days, SELECT_K, trees=100, seed=42, max_depth=10)
+    own = seq.slice_features(days, selection.selected_indices(sel), SELECT_K)
+    stats = seq.fit_scaler(own.join(lab.select("id"), "id", "left_semi"), "features", ddof=0)
+    return seq.standardise(own, stats, "features", zero_std="one")
+
+
+def _pooled_notes(spark, d) -> DataFrame:
+    """``subject, vec``: mean of the subject's standardised notes, the constant
+    vector plus the mean of the sparse parts; dense rows exist per subject only."""
+    sparse, stats = _note_stats(spark, d)
+    base, shift = tx.standardised_parts(sparse, stats)
+    keys = fx.note_keys(spark, d).select("note_id", "subject")
+    held = keys.groupBy("subject").agg(F.count(F.lit(1)).alias("n"))
+    sums = shift.join(keys, "note_id").groupBy("subject", "term_ix").agg(F.sum("shift").alias("value"))
+    dense = tx.densify(sums, held, VOCAB_SIZE, "subject", "vec").join(held, "subject")
+    const = base.agg(F.transform(F.array_sort(F.collect_list(F.struct("term_ix", "base"))), lambda x: x["base"]).alias("c")).scalar()
+    mean = F.zip_with("_c", F.transform("vec", lambda x: x / F.col("n")), lambda b, x: b + x)
+    return dense.withColumn("_c", const).select("subject", mean.alias("vec"))
+
+
 def _model_rows(spark, d) -> DataFrame:
     """``id, split, label, features`` of the curated train and valid ids and of
-    all test ids: pooled scaled days joined end to end with the pooled TF-IDF
-    vector of the subject's notes (zeros without an own note)."""
+    all test ids: pooled days of the selected positions joined end to end with
+    the pooled standardised TF-IDF vector of the subject's notes (zeros without
+    an own note)."""
     c = fx.cohort(spark, d)
     labelled = labels.curate(fx.label_rows(spark, d).filter("split != 'test'"), by=["split"]).select("id", "label")
     ids = labelled.unionByName(_test_ids(spark, d).select("id", F.lit(None).cast("int").alias("label")))
     head = asm.heads(c.drop("label").join(ids, "id"), fx.note_keys(spark, d))
-    pooled = seq.mean_pool(_scaled_days(spark, d, index=False), "id", "features")
-    texts = fx.note_texts(spark, d)
-    sparse, _ = tx.fit_transform(texts, "note_id", "text", NOTE_WIDTH)
-    by_subject = seq.mean_pool(tx.densify(sparse, texts, NOTE_WIDTH, "note_id", "vec").join(
-        fx.note_keys(spark, d).select("note_id", "subject"), "note_id"), "subject", "vec")
-    vec = F.when(F.col("has_note"), F.coalesce("vec", V.zeros(NOTE_WIDTH))).otherwise(V.zeros(NOTE_WIDTH))
-    rows = head.join(pooled, "id", "left").join(by_subject, "subject", "left").select(
+    pooled = seq.mean_pool(_selected_days(spark, d), "id", "features")
+    vec = F.when(F.col("has_note"), F.coalesce("vec", V.zeros(VOCAB_SIZE))).otherwise(V.zeros(VOCAB_SIZE))
+    rows = head.join(pooled, "id", "left").join(_pooled_notes(spark, d), "subject", "left").select(
         "id", "split", F.col("label").cast("int").alias("label"),
-        V.concat(F.coalesce(F.col("features"), V.zeros(DAY_WIDTH)), vec).alias("features"))
+        V.concat(F.coalesce(F.col("features"), V.zeros(SELECT_K)), vec).alias("features"))
     # fits and scoring all read these rows: checkpoint them once (shared folder)
     return cut_lineage(rows)
 
@@ -593,12 +614,7 @@ def selected_rows(spark, d):
     scaled with the statistics of the train ids. Which positions they are is
     the forest's matter; per row the number of positions and whether they are
     finite is told."""
-    days = cut_lineage(fx.day_vectors_64(spark, d))
-    lab = _curated(spark, d, "train")
-    sel = selection.select_features(lab, days, SELECT_K, trees=20, seed=42, max_depth=10)
-    own = seq.slice_features(days, selection.selected_indices(sel), SELECT_K)
-    stats = seq.fit_scaler(own.join(lab.select("id"), "id", "left_semi"), "features", ddof=0)
-    out = seq.standardise(own, stats, "features", zero_std="one")
+    out = _selected_days(spark, d)
     return out.select("id", F.col("day").cast("string").alias("day"), big(F.size("features")).alias("n_selected"),
                       F.forall("features", lambda x: x.isNotNull() & ~F.isnan(x)).alias("complete"))
 
