@@ -9,11 +9,14 @@ read again as the next one's ``docs``.
    the lines that stay. No document goes here, even if no line is left.
 3. ``near_duplicates``: of each component of similar documents the one with the
    smallest ``doc_id`` stays; documents without words link with nothing and stay.
+   Of rows with the same id and the same text one stays, also of those with a
+   null id; rows of one id with different texts are parts of one document.
 4. ``decontamination``: documents with a word in a benchmark window go.
 5. ``packing``: the pieces of all documents, packed into sequences.
 
 Stages 1 to 4 return the columns of ``documents``; rows with a null id pass
-stages 2 to 4 as single documents.
+stages 2 to 4 as single documents, apart from their exact copies in stage 3
+(near-equal ones stay, for no id names them).
 """
 
 from __future__ import annotations
@@ -51,10 +54,14 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The operator of op4; one document of each component stays."""
+    """The operator of op4; one document of each component stays, and one of
+    its equal rows."""
     linked, _ = jaccard_join.link_documents(docs)
     gone = linked.filter("component_id < doc_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    # copies are merged inside the tasks first, so a repeated id is no hot key
+    first = F.min(F.struct(*COLUMNS)).alias("r")
+    return kept.groupBy(F.col("doc_id").alias("_id"), F.md5(F.col("text").cast("binary")).alias("_h")).agg(first).select("r.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,3 +60,11 @@ def test_digest_columns(spark):
             assert set(columns.split()) <= set(df.columns)
             rows = spark.read.parquet(f"{SF}/{'pages' if name.startswith('op10') else 'documents'}.parquet").count()
             assert df.select("page_id" if name.startswith("op10") else "doc_id").distinct().count() == rows
+
+
+def test_repeated_rows_stay_once(spark):
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, text)] * 20 + [(2, text)] * 3 + [(1, "other part of it")] + [(None, text)] * 4 + [(None, "x y"), (5, None), (5, None), (6, "")]
+    got = sorted((str(r["doc_id"]), str(r["text"])) for r in stage(spark, frame(spark, rows), SF).collect())
+    assert got == sorted([("1", text), ("1", "other part of it"), ("None", text), ("None", "x y"), ("5", "None"), ("6", "")])
