@@ -3,12 +3,15 @@ parameters, to its whole table and derives the digest columns."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from admitflow.llm import decontamination, fingerprints, html_extract, jaccard_join, line_dedup, packing, quality, samples, sharding, substring_dedup, toxicity
+from admitflow.llm import (alignment, conversation_repair, decontamination, fingerprints, html_extract, jaccard_join, line_dedup,
+                           packing, quality, samples, secrets_ledger, sharding, substring_dedup, toxicity)
+from admitflow.session import cut_lineage, ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SHARDS = 40
@@ -111,3 +114,32 @@ def op10_html_extraction(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     rows = html_extract.extract(pages, html_extract.fit(pages))
     return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op11_secret_scans(spark, sf_dir):
+    """Secrets in every document, scanned blob by blob into a new ledger."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ledger = secrets_ledger.Ledger(spark, f"{ensure_checkpoint_dir(spark)}/ledger-{uuid.uuid4().hex}")
+    secrets_ledger.scan(docs, ledger)
+    rows = secrets_ledger.locate(docs, ledger)
+    of = lambda *kinds: F.filter("findings", lambda f: f["kind"].isin(*kinds))
+    return rows.select("doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in secrets_ledger.BASE],
+                       sha256(secrets_ledger.as_text(of(*secrets_ledger.BASE))).alias("base_sha256"),
+                       secrets_ledger.as_text(F.col("findings")).alias("spans"))
+
+
+@query
+def op12_tokenizer_alignment(spark, sf_dir):
+    """Alignment of two tokenizers over every document."""
+    return alignment.align(table(spark, sf_dir, "documents"))[0]
+
+
+@query
+def op13_conversation_repair(spark, sf_dir):
+    """Lightest repairs of every conversation, after damage."""
+    conversations = table(spark, sf_dir, "conversations")
+    damaged = conversation_repair.damage(conversations)
+    plans = conversation_repair.plan_repairs(conversations, damaged)
+    plans = cut_lineage(plans)
+    return conversation_repair.with_digests(plans, conversation_repair.repaired_turns(damaged, plans))
