@@ -30,5 +30,10 @@ def focal(bce, alpha, gamma: float = 2.0) -> Column:
     return a * F.pow(F.lit(1.0) - F.exp(-b), F.lit(float(gamma))) * b
 
 
-def smoothed_focal(logit, label, alpha, gamma: float = 2.0, smoothing: float = 0.1) -> Column:
-    return focal(logit_bce(logit, smooth_label(label, smoothing)), alpha, gamma)
+def smoothed_focal(logit, label, alpha, gamma: float = 2.0, smoothing: float = 0.1, positive_only: bool = False) -> Column:
+    """M10 per row. ``alpha`` multiplies every row, as in the reference, or with
+    ``positive_only`` the rows of the positive class alone (Q25)."""
+    a = alpha if isinstance(alpha, Column) else F.lit(float(alpha))
+    if positive_only:
+        a = F.when(_col(label) == 1, a).otherwise(F.lit(1.0))
+    return focal(logit_bce(logit, smooth_label(label, smoothing)), a, gamma)

@@ -10,11 +10,13 @@ spread over the range-partitioned positions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from admitflow.functions import keys as K
-from admitflow.operators.ordered import with_rank_within
+from admitflow.operators.ordered import as_of, with_rank_within
 
 
 def note_labels(notes: DataFrame) -> DataFrame:
@@ -82,3 +84,14 @@ def sequences(ordered: DataFrame, vecs: DataFrame, vec: str = "vec") -> DataFram
     """A9 + S4: each subject's notes with their vectors, long form, in
     ``note_pos`` order. A note without a vector keeps a null ``vec``."""
     return ordered.select("subject", "note_pos", "note_id").join(vecs.select("note_id", vec), "note_id", "left")
+
+
+def history(admissions: DataFrame, notes: DataFrame, on: list[str], sums: dict[str, Column] | None = None,
+            columns: Sequence[str] = (), strict: bool = False) -> DataFrame:
+    """J5 + J12 + A9 as of the admission (``as_of``): each admission with the
+    notes of its subject that are not later in ``on`` - their number ``n_before``,
+    the last one's ``last_note`` and ``columns``, and, per name in ``sums``, the
+    sum of an expression over them. The reference takes all notes of the subject,
+    also those written after the admission (Q2)."""
+    told = notes.withColumn("last_note", F.col("note_id"))
+    return as_of(admissions, told, ["subject"], on, ["last_note", *columns], {"n_before": F.lit(1).cast("long"), **(sums or {})}, strict)

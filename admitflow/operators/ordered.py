@@ -1,5 +1,5 @@
 """Skew-safe ordered operators: running sums, global row index, rank within a
-group, next row within a group.
+group, next row within a group, as-of joins.
 
 A window partitioned by a key sends the whole key to one task; a key that
 holds a third of the rows then becomes a straggler. Here the rows are
@@ -83,3 +83,65 @@ def with_next_within(df: DataFrame, group_by: Sequence[str], order_by: Sequence,
     following = indexed.select(*group_by, (F.col("_nix") - 1).alias("_nix"),
                                *[F.col(c).alias(prefix + c) for c in columns])
     return indexed.join(following, [*group_by, "_nix"], "left").drop("_nix")
+
+
+def with_prefix(df: DataFrame, group_by: Sequence[str], order_by: Sequence[str], sums: dict[str, Column],
+                lasts: dict[str, Column], num_partitions: int | None = None) -> DataFrame:
+    """Add, over the rows of the same group that come before the row, per name in
+    ``sums`` their sum (0 for the first) and per name in ``lasts`` the last value
+    that is not null. Order columns are ascending, nulls first.
+
+    As in ``with_running_sums`` a group may lie in many range partitions; what a
+    partition's part of a group ends with is carried over to the next ones by a
+    table with one row per part.
+    """
+    n = num_partitions or shuffle_partitions(df.sparkSession)
+    group, by = list(group_by), [f"_o{i}" for i in range(len(order_by))]
+    df = df.withColumns({f"_o{i}": F.col(c) for i, c in enumerate(order_by)}
+                        | {f"_s_{k}": v for k, v in sums.items()} | {f"_l_{k}": v for k, v in lasts.items()})
+    s = cut_lineage(df.repartitionByRange(n, *group, *by).withColumn("_p", F.spark_partition_id()))
+    ends = [F.sum(f"_s_{k}").alias(f"_t_{k}") for k in sums]
+    ends += [F.max_by(f"_l_{k}", F.when(F.col(f"_l_{k}").isNotNull(), F.struct(*by))).alias(f"_e_{k}") for k in lasts]
+    parts = s.groupBy("_p", *group).agg(*ends)
+    earlier = Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_p", *group).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    last = lambda c, w: F.last(c, ignorenulls=True).over(w)
+    parts = parts.select("_p", *group, *[total(f"_t_{k}", earlier).alias(f"_bs_{k}") for k in sums],
+                         *[last(f"_e_{k}", earlier).alias(f"_bl_{k}") for k in lasts])
+    parts = parts.withColumnsRenamed({c: f"_g{i}" for i, c in enumerate(["_p", *group])})
+    s = s.withColumns({f"_rs_{k}": total(f"_s_{k}", inside) for k in sums} | {f"_rl_{k}": last(f"_l_{k}", inside) for k in lasts})
+    joined = s.join(parts, [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(["_p", *group])])
+    out = joined.withColumns({k: F.col(f"_bs_{k}") + F.col(f"_rs_{k}") for k in sums}
+                             | {k: F.coalesce(f"_rl_{k}", f"_bl_{k}") for k in lasts})
+    gone = [f"_{x}_{k}" for x in ("s", "bs", "rs") for k in sums] + [f"_{x}_{k}" for x in ("l", "bl", "rl") for k in lasts]
+    return out.drop("_p", *by, *[f"_g{i}" for i in range(len(group) + 1)], *gone)
+
+
+def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], on: Sequence[str], columns: Sequence[str] = (),
+          sums: dict[str, Column] | None = None, strict: bool = False) -> DataFrame:
+    """Every row of ``left`` with ``columns`` of the last row of ``right`` that has
+    the same ``by`` and is not later in ``on`` (ascending; several columns break
+    ties), and with ``sums`` over all such rows. ``strict`` leaves out rows that
+    are equal in ``on``.
+
+    Both sides are one union in order, so a group is never one task and no (left,
+    right) pairs are made. Columns of ``right`` that ``left`` has too are refused.
+    A left row without an earlier one has nulls and sums of 0; rows whose ``by``
+    or ``on`` holds a null match nothing.
+    """
+    sums = sums or {}
+    clash = set(left.columns) & {*columns, *sums}
+    if clash:
+        raise ValueError(f"both sides have {sorted(clash)}")
+    keys, whole = [*by, *on], lambda cs: F.forall(F.array(*[F.col(c).isNull() for c in cs]), lambda x: ~x)
+    own = left.select(*keys, F.lit(0 if strict else 1).alias("_kind"), F.struct(*left.columns).alias("_row"))
+    told = right.filter(whole(keys)).select(
+        *keys, F.lit(1 if strict else 0).alias("_kind"), F.struct(F.lit(True).alias("_seen"), *columns).alias("_value"),
+        *[v.alias(f"_sum_{k}") for k, v in sums.items()])
+    both = own.unionByName(told, allowMissingColumns=True)
+    placed = with_prefix(both, by, [*on, "_kind"], {k: F.coalesce(F.col(f"_sum_{k}"), F.lit(0)) for k in sums}, {"_found": F.col("_value")})
+    fits = whole(keys)
+    return placed.filter(F.col("_row").isNotNull()).select(
+        "_row.*", *[F.when(fits, F.col(f"_found.{c}")).alias(c) for c in columns],
+        *[F.when(fits, F.col(k)).otherwise(F.lit(0)).alias(k) for k in sums])

@@ -8,19 +8,24 @@ DuckDB statement of each.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from admitflow.functions import vectors as V
 from admitflow.operators import assembly as asm
-from admitflow.operators import batching, folds, labels, metrics, modeling, notes, pooling, selection
+from admitflow.operators import batching, folds, labels, metrics, modeling, moments, multifit, notes, pooling, selection, substrings
 from admitflow.operators import sequences as seq
 from admitflow.operators import text as tx
-from admitflow.operators.embedding import pending, token_mean
+from admitflow.operators.embedding import pending, token_counts, token_mean
 from admitflow.plans import fixtures as fx
-from admitflow.session import cut_lineage
+from admitflow.session import cut_lineage, ensure_checkpoint_dir
+from admitflow.operators.ordered import with_global_index
+from admitflow.sources import batches as store
+from admitflow.sources import bucketed, keyed
 from admitflow.sources.tables import read_table
 
 # --- fixed parameters of the registered queries ------------------------------
@@ -31,6 +36,11 @@ MISSING_ROWS = 100                     # zero rows for an id without features (Q
 DAY_WIDTH = 8                          # width of day_rows features
 SLICE_INDICES = [60, 56, 52, 48, 44, 40, 36, 32, 28, 24, 20, 16, 12, 8, 4, 0]
 SELECT_K = 32                          # features kept from the 64-wide rows
+REGS = (0.1, 0.01, 0.001)              # regularisation of the candidates
+EPOCHS = 3
+BUCKETS = 8                            # buckets of the stored samples
+PLANTED_AT = 40                        # the position that tells the label in planted_selection
+SMALL_REG, SMALL_AT = 0.01, (0, 2)     # the two-feature models: regularisation, positions of the scaled days
 ATTN_W = [0.5, -0.25, 1.0, -1.0, 0.3, 0.2, -0.2, 0.1]
 ATTN_B = 0.1
 PROJ_W = [[0.1, 0.2, 0.3, 0.4, -0.1, -0.2, -0.3, -0.4],
@@ -101,14 +111,25 @@ def _note_stats(spark, d) -> tuple[DataFrame, DataFrame]:
     return sparse, tx.sparse_stats(sparse, n_docs, VOCAB_SIZE, ddof=1)
 
 
+def _note_parts(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The standardised notes as a constant vector (``term_ix, base``) and sparse
+    rows (``note_id, term_ix, shift``)."""
+    sparse, stats = _note_stats(spark, d)
+    return tx.standardised_parts(sparse, stats)
+
+
+def _constant_sums(base: DataFrame) -> Column:
+    """``s1, s2, chk`` of the constant vector, as one value."""
+    at = F.col("term_ix") + 1
+    return base.agg(F.struct(F.sum("base").alias("s1"), F.sum(F.col("base") * F.col("base")).alias("s2"),
+                             F.sum(F.col("base") * at).alias("chk"))).scalar()
+
+
 def _standardised_sums(spark, d) -> DataFrame:
     """``note_id, s1, s2, chk`` of every standardised note: sum, sum of squares
     and position-weighted sum, from the sparse rows and the constant vector."""
-    sparse, stats = _note_stats(spark, d)
-    base, shift = tx.standardised_parts(sparse, stats)
-    at = F.col("term_ix") + 1
-    const = base.agg(F.struct(F.sum("base").alias("s1"), F.sum(F.col("base") * F.col("base")).alias("s2"),
-                              F.sum(F.col("base") * at).alias("chk"))).scalar()
+    base, shift = _note_parts(spark, d)
+    at, const = F.col("term_ix") + 1, _constant_sums(base)
     moved = shift.join(F.broadcast(base), "term_ix").groupBy("note_id").agg(
         F.sum("shift").alias("d1"), F.sum((F.col("base") * 2 + F.col("shift")) * F.col("shift")).alias("d2"),
         F.sum(F.col("shift") * at).alias("dc"))
@@ -349,6 +370,13 @@ def related_notes_contains(spark, d):
     return notes.related_contains(n.select("subject").distinct(), n)
 
 
+@query
+def related_notes_automaton(spark, d):
+    """J4 + X13: the same pairs by Aho-Corasick automata over the subjects."""
+    n = fx.note_keys(spark, d)
+    return substrings.contains_join(n.select("subject").distinct(), n.select("note_id"), "subject", "note_id")
+
+
 @query
 def note_gate(spark, d):
     """J5 + P7: does the admission have its own note."""
@@ -362,6 +390,45 @@ def note_stats(spark, d):
     return st.select(big("term_ix").alias("dim"), r6("mean").alias("mean"), r6("std").alias("std"))
 
 
+@query
+def note_stats_train(spark, d):
+    """A6 with ``fit_on`` (Q13): the same of the notes of train admissions alone,
+    from the stored moments of two parts of them."""
+    _, sparse, _ = _tfidf(spark, d)
+    train = fx.note_keys(spark, d).filter(fx.split_of(F.col("row_ix")) == "train").select("note_id", (F.col("row_ix") % 3 == 0).alias("first"))
+    parts = [train.filter("first"), train.filter("NOT first")]
+    count = lambda df: df.agg(F.count(F.lit(1))).scalar()
+    told = [moments.sparse_moments(sparse, count(part), part) for part in parts]
+    merged = moments.merge_sparse(told[0].unionByName(told[1]), count(train))
+    dims = spark.range(VOCAB_SIZE).select(F.col("id").cast("int").alias("term_ix")).join(F.broadcast(merged), "term_ix", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    n = count(train).cast("double")
+    return dims.select(big("term_ix").alias("dim"), r6(zero(F.col("mean"))).alias("mean"), r6(F.sqrt(zero(F.col("m2")) / (n - 1))).alias("std"))
+
+
+@query
+def merged_scaler(spark, d):
+    """A4 + A5 + S11: the scaler's statistics over all days, merged from the
+    stored moments of the three splits; the train part is written twice."""
+    days, path = fx.day_vectors(spark, d), f"{ensure_checkpoint_dir(spark)}/moments-{uuid.uuid4().hex}"
+    ids = fx.cohort_splits(spark, d)
+    for part in ("train", "valid", "test", "train"):
+        moments.write_part(path, part, moments.moments(days, "features", ids.filter(F.col("split") == part)))
+    st = moments.as_stats(moments.read_moments(spark, path), ddof=0)
+    return st.select(F.posexplode(F.arrays_zip("mean", "std")).alias("feature_ix", "s"), "n").select(
+        big("feature_ix").alias("feature_ix"), r6("s.mean").alias("mean"), r6("s.std").alias("std"), big("n").alias("n"))
+
+
+@query
+def keyed_read(spark, d):
+    """S4 + S9: the embeddings in the keyed store, read back for the first label
+    of every hundred."""
+    vecs = read_table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("note_id"), F.col("embedding").alias("vec"))
+    path = keyed.write_keyed(vecs, f"{ensure_checkpoint_dir(spark)}/keyed-{uuid.uuid4().hex}")
+    asked = read_table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("note_id")).filter("CAST(note_id AS BIGINT) % 100 = 0")
+    return keyed.read_keyed(spark, path, asked).select("note_id", big(F.size("vec")).alias("width"), r6(V.vsum(F.col("vec").cast("array<double>")), 4).alias("s1"))
+
+
 @query
 def notes_standardised(spark, d):
     """J7 + X15: notes standardised with the note statistics (std 0 → 0)."""
@@ -401,23 +468,47 @@ def assemble(spark, d):
         "id", "split", "label", "has_note", "branch", big("pos").alias("pos"), "note_id", r6("s1", 5).alias("s1"), r6("chk", 4).alias("chk"))
 
 
-def _collated(spark, d, members: DataFrame) -> DataFrame:
+@query
+def assemble_stored(spark, d):
+    """M8 + W1 over bucketed stores: the same rows as ``assemble`` of the samples
+    with days and notes of their own, without an exchange on id or subject."""
+    c = fx.cohort(spark, d)
+    head = asm.heads(c, fx.note_keys(spark, d))
+    days = asm.sample_days(c, _scaled_days(spark, d), DAY_WIDTH, MISSING_ROWS).select("id", "pos", *_vector_sums("features"))
+    vecs = _standardised_sums(spark, d).select("note_id", "s1", "chk")
+    told = _ordered_notes(spark, d).select("subject", F.col("note_pos").cast("int").alias("pos"), "note_id").join(vecs, "note_id")
+    name = f"samples_{uuid.uuid4().hex}"
+    bucketed.save_samples(head, days, told, name, f"{ensure_checkpoint_dir(spark)}/{name}", BUCKETS)
+    day = bucketed.day_rows(spark, name).select("id", F.lit("day").alias("branch"), "pos", F.lit(None).cast("string").alias("note_id"), "s1", "chk")
+    note = bucketed.note_rows(spark, name).select("id", F.lit("note").alias("branch"), "pos", "note_id", "s1", "chk")
+    return day.unionByName(note).select("id", "branch", big("pos").alias("pos"), "note_id", r6("s1", 5).alias("s1"), r6("chk", 4).alias("chk"))
+
+
+def _collated(spark, d, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Padded rows of both branches; the note branch names its notes."""
     c = fx.cohort(spark, d).join(members.select("id"), "id", "left_semi")
     head = asm.heads(c, fx.note_keys(spark, d))
     days = asm.sample_days(c, _scaled_days(spark, d), DAY_WIDTH, MISSING_ROWS)
     mine = asm.sample_notes(head, _ordered_notes(spark, d))
-    day = asm.collate(members, days, ["features"], [V.zeros(DAY_WIDTH)])
-    note = asm.collate(members, mine, ["note_id"], [F.lit(None).cast("string")])
-    return day.select("batch_id", "id", F.lit("day").alias("branch"), "pos", F.lit(None).cast("string").alias("note_id"), "padded", *_vector_sums("features")).unionByName(
-        note.select("batch_id", "id", F.lit("note").alias("branch"), "pos", "note_id", "padded", F.lit(0.0).alias("s1"), F.lit(0.0).alias("chk")))
+    return (asm.collate(members, days, ["features"], [V.zeros(DAY_WIDTH)]),
+            asm.collate(members, mine, ["note_id"], [F.lit(None).cast("string")]))
+
+
+def _collated_sums(spark, d, members: DataFrame) -> DataFrame:
+    """Sum and position-weighted sum of every padded row of both branches."""
+    day, note = _collated(spark, d, members)
+    vecs = _standardised_sums(spark, d).select("note_id", "s1", "chk")
+    day = day.select("batch_id", "id", F.lit("day").alias("branch"), "pos", F.lit(None).cast("string").alias("note_id"), "padded", *_vector_sums("features"))
+    return day.unionByName(note.join(vecs, "note_id", "left").select(
+        "batch_id", "id", F.lit("note").alias("branch"), "pos", "note_id", "padded", *[F.coalesce(k, F.lit(0.0)).alias(k) for k in ("s1", "chk")]))
 
 
 @query
 def collate(spark, d):
     """M9 + X19 + F3: the test batches with both sequences right-padded to the
     longest of the batch, row by row, with the mask."""
-    rows = _collated(spark, d, batching.batches(_test_ids(spark, d), ["row_ix"], BATCH_SIZE))
-    return rows.select(big("batch_id").alias("batch_id"), "id", "branch", big("pos").alias("pos"), "note_id", "padded", r6("s1").alias("s1"), r6("chk").alias("chk"))
+    rows = _collated_sums(spark, d, batching.batches(_test_ids(spark, d), ["row_ix"], BATCH_SIZE))
+    return rows.select(big("batch_id").alias("batch_id"), "id", "branch", big("pos").alias("pos"), "note_id", "padded", r6("s1", 5).alias("s1"), r6("chk", 4).alias("chk"))
 
 
 @query
@@ -425,10 +516,57 @@ def collate_train(spark, d):
     """M9 + T4: the train batches in seeded shuffled order, padded; per batch and
     branch its rows, padded rows and longest sequence."""
     ids = _curated(spark, d, "train").select("id")
-    rows = _collated(spark, d, batching.batches(ids, [], BATCH_SIZE, shuffle_seed=FOLD_SEED))
+    rows = _collated_sums(spark, d, batching.batches(ids, [], BATCH_SIZE, shuffle_seed=FOLD_SEED))
     return rows.groupBy("batch_id", "branch").agg(
         big(F.count(F.lit(1))).alias("n_rows"), big(F.sum(F.col("padded").cast("int"))).alias("n_padded"),
-        big(F.max("pos") + 1).alias("max_len"), r6(F.sum("s1"), 4).alias("s1"))
+        big(F.max("pos") + 1).alias("max_len"), r6(F.sum("s1"), 3).alias("s1"))
+
+
+@query
+def batch_store(spark, d):
+    """M9 + F3 + S4: the test batches written to the batch store, read back and
+    summed up per batch: rows, padded rows, and the sparse note vectors put
+    together with the constant vector again."""
+    day, note = _collated(spark, d, batching.batches(_test_ids(spark, d), ["row_ix"], BATCH_SIZE))
+    base, shift = _note_parts(spark, d)
+    note = cut_lineage(note)
+    path = store.write_batches(f"{ensure_checkpoint_dir(spark)}/batches-{uuid.uuid4().hex}", day, note, store.batch_vectors(note, shift))
+    days = store.read_batches(spark, path, "days").select("batch_id", "padded", *_vector_sums("features"))
+    days = days.groupBy("batch_id").agg(big(F.count(F.lit(1))).alias("day_rows"), big(F.sum(F.col("padded").cast("int"))).alias("day_padded"), F.sum("chk").alias("day_chk"))
+    moved = F.aggregate(F.coalesce(F.zip_with("ix", "value", lambda i, v: v * (i + 1)), F.array().cast("array<double>")), F.lit(0.0), lambda a, x: a + x)
+    rows = store.note_rows(spark, path).withColumn("_c", _constant_sums(base))
+    chk = F.when(F.col("note_id").isNotNull(), F.col("_c.chk") + moved).otherwise(F.lit(0.0))
+    notes_ = rows.groupBy("batch_id").agg(big(F.count(F.lit(1))).alias("note_rows"), big(F.sum(F.col("padded").cast("int"))).alias("note_padded"), F.sum(chk).alias("note_chk"))
+    return days.join(notes_, "batch_id").select(big("batch_id").alias("batch_id"), "day_rows", "day_padded", r6("day_chk", 3).alias("day_chk"),
+                                                "note_rows", "note_padded", r6("note_chk", 2).alias("note_chk"))
+
+
+@query
+def as_of_notes(spark, d):
+    """J5 + J12 as of the admission: how many notes of its subject an admission
+    could see, the last of them and its age in days ('' and -1 without one)."""
+    told = notes.history(fx.admissions(spark, d), fx.timed_notes(spark, d).withColumn("last_day", F.col("day")), ["day", "row_ix"], columns=["last_day"])
+    age = F.coalesce(F.datediff("day", "last_day"), F.lit(-1))
+    return told.select("id", "subject", "n_before", F.coalesce("last_note", F.lit("")).alias("last_note"), big(age).alias("age"))
+
+
+@query
+def as_of_pool(spark, d):
+    """A9 + A3 as of the admission: the mean of the standardised vectors of the
+    notes up to it (sum and position-weighted sum), without (admission, note) pairs."""
+    told = fx.timed_notes(spark, d).join(_standardised_sums(spark, d).select("note_id", "s1", "chk"), "note_id")
+    seen = notes.history(fx.admissions(spark, d), told, ["day", "row_ix"], {"sum1": F.col("s1"), "sumc": F.col("chk")})
+    mean = lambda c: F.coalesce(F.try_divide(F.col(c), F.col("n_before")), F.lit(0.0))
+    return seen.select("id", "n_before", r6(mean("sum1"), 4).alias("s1"), r6(mean("sumc"), 3).alias("chk"))
+
+
+@query
+def as_of_rows(spark, d):
+    """M8 with ``upto``: the note rows of every sample, of notes up to the admission."""
+    head = asm.heads(fx.cohort(spark, d), fx.note_keys(spark, d))
+    seen = notes.history(fx.admissions(spark, d), fx.timed_notes(spark, d), ["day", "row_ix"]).select("id", "n_before")
+    rows = asm.sample_notes(head.join(seen, "id"), _ordered_notes(spark, d), upto="n_before")
+    return rows.select("id", big("pos").alias("pos"), "note_id")
 
 
 # ---------------------------------------------------------------- order, folds, batches
@@ -457,6 +595,16 @@ def shuffle_order(spark, d):
         "id", big("shuffle_ix").alias("shuffle_ix"))
 
 
+@query
+def epoch_batches(spark, d):
+    """T4 + W2: three epochs of the train ids, each in an order of its own, made
+    from one index without a sort per epoch."""
+    ids = with_global_index(_curated(spark, d, "train").select("id"), ["id"])
+    n = ids.agg(F.count(F.lit(1))).scalar()
+    return batching.epochs(ids, "ix", n, EPOCHS, BATCH_SIZE, FOLD_SEED).select(
+        "id", big("epoch").alias("epoch"), big("shuffle_ix").alias("shuffle_ix"), big("batch_id").alias("batch_id"), big("batch_pos").alias("batch_pos"))
+
+
 @query
 def batches(spark, d):
     """Test ids in file order, cut into batches of 128."""
@@ -464,11 +612,7 @@ def batches(spark, d):
         "id", big("batch_id").alias("batch_id"), big("batch_pos").alias("batch_pos"))
 
 
-@query
-def padding_masks(spark, d):
-    """Per test id its sequence lengths, the batch
-    maxima and the number of padded (masked) positions, for the feature
-    sequence and the note sequence."""
+def _masks(spark, d, compat: bool) -> DataFrame:
     b = batching.batches(_test_ids(spark, d), ["row_ix"], BATCH_SIZE)
     days = fx.day_vectors(spark, d).groupBy("id").agg(F.count(F.lit(1)).alias("_nd"))
     n = fx.note_keys(spark, d)
@@ -476,15 +620,31 @@ def padding_masks(spark, d):
     g = notes.gate(b.select("id"), n)
     x = (b.join(days, "id", "left").join(rel, "id").join(g, "id")
          .withColumn("seq_len", F.coalesce(F.col("_nd"), F.lit(MISSING_ROWS)).cast("int"))
-         .withColumn("note_len", F.when(F.col("has_note"), F.col("n_notes")).otherwise(F.lit(1)).cast("int")))
+         .withColumn("note_len", F.when(F.col("has_note"), F.col("n_notes")).otherwise(F.lit(1)).cast("int"))
+         .withColumn("note_reported", batching.reported_length("note_len", "has_note", VOCAB_SIZE, compat)))
     x = batching.collate(x, "seq_len", "batch_id", prefix="")
-    x = batching.collate(x, "note_len", "batch_id", prefix="note_")
+    x = batching.collate(x, "note_len", "batch_id", prefix="note_", reported="note_reported")
     return x.select("id", "batch_id", big("seq_len").alias("seq_len"), big("max_len").alias("max_len"),
                     big(F.size(F.filter("mask", lambda m: m))).alias("n_masked"),
                     big("note_len").alias("note_len"), big("note_max_len").alias("note_max_len"),
                     big(F.size(F.filter("note_mask", lambda m: m))).alias("note_n_masked"))
 
 
+@query
+def padding_masks(spark, d):
+    """Per test id its sequence lengths, the batch
+    maxima and the number of padded (masked) positions, for the feature
+    sequence and the note sequence."""
+    return _masks(spark, d, compat=False)
+
+
+@query
+def padding_masks_compat(spark, d):
+    """The same with ``compat_mask`` (Q7): the zero row of a sample without notes
+    is masked from position 1024 on only."""
+    return _masks(spark, d, compat=True)
+
+
 # ---------------------------------------------------------------- metrics and models
 
 @query
@@ -497,6 +657,15 @@ def focal_loss(spark, d):
     return out.select("split", r6("loss").alias("loss"), big("n").alias("n"))
 
 
+@query
+def focal_loss_positive(spark, d):
+    """M10 with ``positive_only`` (Q25): alpha weights the positive rows alone."""
+    s = fx.scored(spark, d)
+    alpha = labels.positive_weight(s.filter(F.col("split") == "train"))
+    out = metrics.focal_loss(s, "score", "label", alpha, 2.0, 0.1, "mean", by=["split"], positive_only=True)
+    return out.select("split", r6("loss").alias("loss"), big("n").alias("n"))
+
+
 @query
 def roc_auc(spark, d):
     """A11 + W7: AUC per split with tied scores averaged."""
@@ -545,12 +714,12 @@ def pooled_embeddings(spark, d):
     n = fx.note_texts(spark, d)
     emb = read_table(spark, d, "embeddings")
     n_emb = emb.agg(F.count(F.lit(1))).scalar()
-    from admitflow.functions import text as T
-    toks = n.select(F.explode(T.words(F.col("text"))).alias("token")).distinct()
+    counts = token_counts(n, "note_id", "text")
     bucket = F.pmod(F.conv(F.substring(F.md5(F.col("token")), 1, 8), 16, 10).cast("long"), n_emb)
-    tv = toks.withColumn("vec_id", bucket).join(emb.select("vec_id", F.col("embedding").alias("vec")), "vec_id")
+    tv = counts.select("token").distinct().withColumn("vec_id", bucket).join(
+        emb.select("vec_id", F.col("embedding").alias("vec")), "vec_id")
     # 64: the width of the embeddings table
-    pooled = token_mean(n, tv, "note_id", "text", "token", "vec", dim=64)
+    pooled = token_mean(fx.note_keys(spark, d), tv, "note_id", vec="vec", dim=64, counts=counts)
     return seq.explode_vector(pooled, ["note_id"], "vec", "dim").select(
         "note_id", big("dim").alias("dim"), r6("value").alias("value"))
 
@@ -566,36 +735,48 @@ def _selected_days(spark, d) -> DataFrame:
     return seq.standardise(own, stats, "features", zero_std="one")
 
 
-def _pooled_notes(spark, d) -> DataFrame:
-    """``subject, vec``: mean of the subject's standardised notes, the constant
-    vector plus the mean of the sparse parts; dense rows exist per subject only."""
-    sparse, stats = _note_stats(spark, d)
-    base, shift = tx.standardised_parts(sparse, stats)
+def _subject_notes(spark, d, shift: DataFrame) -> DataFrame:
+    """``subject, notes``: the sparse part of the mean of the subject's
+    standardised notes, once per subject; a checkpoint of its own, so that Spark
+    can split the admissions of a hot subject when they join it."""
     keys = fx.note_keys(spark, d).select("note_id", "subject")
     held = keys.groupBy("subject").agg(F.count(F.lit(1)).alias("n"))
-    sums = shift.join(keys, "note_id").groupBy("subject", "term_ix").agg(F.sum("shift").alias("value"))
-    dense = tx.densify(sums, held, VOCAB_SIZE, "subject", "vec").join(held, "subject")
-    const = base.agg(F.transform(F.array_sort(F.collect_list(F.struct("term_ix", "base"))), lambda x: x["base"]).alias("c")).scalar()
-    mean = F.zip_with("_c", F.transform("vec", lambda x: x / F.col("n")), lambda b, x: b + x)
-    return dense.withColumn("_c", const).select("subject", mean.alias("vec"))
-
-
-def _model_rows(spark, d) -> DataFrame:
-    """``id, split, label, features`` of the curated train and valid ids and of
-    all test ids: pooled days of the selected positions joined end to end with
-    the pooled standardised TF-IDF vector of the subject's notes (zeros without
-    an own note)."""
+    sums = shift.join(keys, "note_id").groupBy("subject", "term_ix").agg(F.sum("shift").alias("shift"))
+    mean = sums.join(held, "subject").select("subject", F.struct("term_ix", (F.col("shift") / F.col("n")).alias("shift")).alias("e"))
+    return cut_lineage(mean.groupBy("subject").agg(F.collect_list("e").alias("notes")))
+
+
+def _model_rows(spark, d) -> tuple[DataFrame, int, np.ndarray]:
+    """``id, split, entries, y, fold, flag`` of the curated train and valid ids and
+    of all test ids, with the width and the constant vector: pooled days of the
+    selected positions, then the pooled standardised TF-IDF vector of the
+    subject's notes (zeros without an own note). Rows are sparse; ``flag`` adds
+    the constant vector."""
     c = fx.cohort(spark, d)
     labelled = labels.curate(fx.label_rows(spark, d).filter("split != 'test'"), by=["split"]).select("id", "label")
-    ids = labelled.unionByName(_test_ids(spark, d).select("id", F.lit(None).cast("int").alias("label")))
-    head = asm.heads(c.drop("label").join(ids, "id"), fx.note_keys(spark, d))
+    labelled = folds.kfold(labelled, "id", K_FOLDS, FOLD_SEED, exact=True)
+    ids = labelled.unionByName(_test_ids(spark, d).select("id"), allowMissingColumns=True)
+    head = asm.heads(c.drop("label").join(ids.drop("fold"), "id"), fx.note_keys(spark, d)).join(ids.select("id", "fold"), "id")
     pooled = seq.mean_pool(_selected_days(spark, d), "id", "features")
-    vec = F.when(F.col("has_note"), F.coalesce("vec", V.zeros(VOCAB_SIZE))).otherwise(V.zeros(VOCAB_SIZE))
-    rows = head.join(pooled, "id", "left").join(_pooled_notes(spark, d), "subject", "left").select(
-        "id", "split", F.col("label").cast("int").alias("label"),
-        V.concat(F.coalesce(F.col("features"), V.zeros(SELECT_K)), vec).alias("features"))
+    const, shift = _note_parts(spark, d)
+    base = np.zeros(SELECT_K + VOCAB_SIZE)
+    for r in const.collect():  # as many rows as the vocabulary has
+        base[SELECT_K + r["term_ix"]] = r["base"]
+    rows = head.join(pooled, "id", "left").join(_subject_notes(spark, d, shift), "subject", "left")
+    rows = rows.withColumns({"features": F.coalesce("features", F.array().cast("array<double>")), "notes": F.when(F.col("has_note"), F.col("notes"))})
+    rows = rows.withColumn("entries", multifit.entries([("features", 0)], "notes", SELECT_K))
     # fits and scoring all read these rows: checkpoint them once (shared folder)
-    return cut_lineage(rows)
+    return cut_lineage(multifit.design(rows, fold="fold", flag="has_note", keys=["id", "split"])), len(base), base
+
+
+def _small_rows(spark, d) -> DataFrame:
+    """Two features per curated train id, the means of two positions of its
+    scaled days, with exact folds: models that a SQL statement can fit too."""
+    pooled = seq.mean_pool(_scaled_days(spark, d, index=False), "id", "features")
+    own = _curated(spark, d, "train").select("id", "label").join(pooled, "id")
+    rows = folds.kfold(own, "id", K_FOLDS, FOLD_SEED, exact=True)
+    rows = rows.withColumn("two", F.array(*[F.col("features")[i] for i in SMALL_AT]))
+    return cut_lineage(multifit.design(rows.withColumn("entries", multifit.entries([("two", 0)])), fold="fold", keys=["id"]))
 
 
 @query
@@ -621,12 +802,12 @@ def selected_rows(spark, d):
 
 @query
 def fit_and_score(spark, d):
-    """M2 + M3: weighted logistic candidates on train, the best by validation
-    AUC, its scores for every test id."""
-    rows = _model_rows(spark, d)
+    """M2 + M3: weighted logistic candidates fitted together on train, the best by
+    validation AUC, its scores for every test id."""
+    rows, width, base = _model_rows(spark, d)
     part = lambda s: rows.filter(F.col("split") == s)
-    model, _ = modeling.select_model(part("train"), part("valid"))
-    scores = modeling.score(model, part("test"))
+    model, _ = multifit.choose(part("train"), part("valid"), REGS, width, base)
+    scores = multifit.scores(part("test"), model)
     return modeling.assert_complete(modeling.join_predictions(_test_ids(spark, d), scores)).select("id", "score")
 
 
@@ -634,22 +815,70 @@ def fit_and_score(spark, d):
 def candidate_report(spark, d):
     """M2: the validation rows that each candidate is scored on, and whether its
     AUC is a probability."""
-    rows = _model_rows(spark, d)
-    _, steps = modeling.select_model(rows.filter("split = 'train'"), rows.filter("split = 'valid'"))
+    rows, width, base = _model_rows(spark, d)
+    _, steps = multifit.choose(rows.filter("split = 'train'"), rows.filter("split = 'valid'"), REGS, width, base)
     return steps.select(big("step").alias("step"), "n_pos", "n_neg", F.col("auc").between(0, 1).alias("auc_in_range"))
 
 
 @query
 def kfold_ensemble(spark, d):
-    """M4 + U2 + A12: 10-fold fits on train + valid, test scores averaged."""
-    rows = _model_rows(spark, d)
-    preds, _ = modeling.fit_kfold(rows.filter("split != 'test'"), rows.filter("split = 'test'"), K_FOLDS, FOLD_SEED)
+    """M4 + U2 + A12: 10 folds of train + valid fitted together, test scores averaged."""
+    rows, width, base = _model_rows(spark, d)
+    models, _ = multifit.fit_folds(rows.filter("split != 'test'"), K_FOLDS, width, base)
+    preds = multifit.scores(rows.filter("split = 'test'"), models)
     return modeling.ensemble_mean(preds, K_FOLDS).select("id", "score")
 
 
 @query
 def kfold_report(spark, d):
     """M4 + P10: the held-out rows of each fold, by label."""
-    rows = _model_rows(spark, d)
-    _, auc = modeling.fit_kfold(rows.filter("split != 'test'"), rows.filter("split = 'test'"), K_FOLDS, FOLD_SEED)
+    rows, width, base = _model_rows(spark, d)
+    _, auc = multifit.fit_folds(rows.filter("split != 'test'"), K_FOLDS, width, base)
     return auc.select(big("model_id").alias("fold"), "n_pos", "n_neg", F.col("auc").between(0, 1).alias("auc_in_range"))
+
+
+@query
+def fold_models(spark, d):
+    """M4 + A8: coefficients of the ten fold models over two features, fitted in
+    the same passes; the statement fits each by Newton's method."""
+    fitted, _ = multifit.fit_folds(_small_rows(spark, d), K_FOLDS, len(SMALL_AT), reg=SMALL_REG, tolerance=1e-10)
+    return multifit.coefficients(spark, fitted).select(big("model_id").alias("fold"), big("ix").alias("ix"), r6("value").alias("value"))
+
+
+@query
+def fold_auc(spark, d):
+    """M4 + A11 + A14: validation AUC of each of these models on its own fold."""
+    rows = _small_rows(spark, d)
+    fitted, _ = multifit.fit_folds(rows, K_FOLDS, len(SMALL_AT), reg=SMALL_REG, tolerance=1e-10)
+    # equal days have equal scores up to the order of sums: rounded, they are ties
+    own = multifit.scores(rows, fitted).filter("model_id = fold").withColumns({"score": F.round("score", 8), "label": F.col("y")})
+    auc = metrics.roc_auc(own, "score", "label", by=["fold"])
+    return auc.select(big("fold").alias("fold"), r6("auc").alias("auc"), big("n_pos").alias("n_pos"), big("n_neg").alias("n_neg"))
+
+
+@query
+def fold_probabilities(spark, d):
+    """M3 + U2 + A12: the ensemble's mean logit of every train id, and the
+    probability it stands for."""
+    rows = _small_rows(spark, d)
+    fitted, _ = multifit.fit_folds(rows, K_FOLDS, len(SMALL_AT), reg=SMALL_REG, tolerance=1e-10)
+    mean = modeling.with_probability(modeling.ensemble_mean(multifit.scores(rows, fitted), K_FOLDS))
+    return mean.select("id", r6("score").alias("score"), r6("probability").alias("probability"))
+
+
+@query
+def planted_selection(spark, d):
+    """M1 + A15 + T2 + P4: a position that tells the label is put into the
+    64-wide days; the forest must choose it, and the rows hold its scaled values."""
+    days, lab = fx.day_vectors_64(spark, d), labels.curate(fx.label_rows(spark, d), by=["split"]).select("id", "label")
+    at = PLANTED_AT
+    spread = F.conv(F.substring(F.md5(F.col("id")), 1, 4), 16, 10).cast("double") / 65536.0
+    told = F.col("label").cast("double") + spread * 0.5
+    days = cut_lineage(days.join(lab, "id").withColumn("features", F.concat(
+        F.slice("features", 1, at), F.array(told), F.slice("features", at + 1, 64 - at))).drop("label"))
+    train = _curated(spark, d, "train")
+    sel = selection.select_features(train, days, 1, trees=20, seed=42, max_depth=4)
+    own = seq.slice_features(days, selection.selected_indices(sel), 1)
+    stats = seq.fit_scaler(own.join(train.select("id"), "id", "left_semi"), "features", ddof=0)
+    out = seq.standardise(own, stats, "features", zero_std="one").withColumn("_sel", selection.selected_indices(sel))
+    return out.select("id", F.col("day").cast("string").alias("day"), big(F.col("_sel")[0]).alias("feature_ix"), r6(F.col("features")[0]).alias("value"))

@@ -3,6 +3,7 @@
 | view         | reference input it stands for                               |
 |--------------|-------------------------------------------------------------|
 | cohort       | one row per admission with split and 30-day label           |
+| admissions   | the same ids with their day                                 |
 | label_rows   | train.csv / valid.csv / test.csv rows (conflicting labels)  |
 | day_vectors  | per-id days without their position (8 wide)                 |
 | day_rows     | the per-id day x feature sequence store (8 wide)            |
@@ -10,6 +11,7 @@
 | note_keys    | the key columns of notes.csv, without text or position      |
 | note_texts   | notes with text, without position                           |
 | notes        | the key columns with the position in the subject            |
+| timed_notes  | the key columns with the day of writing                     |
 | chat_notes   | notes.csv with longer per-subject sequences                 |
 | scored       | a prediction table with labels                              |
 | predictions  | prediction files of three models, one missing some ids      |
@@ -60,6 +62,13 @@ def cohort(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def admissions(spark: SparkSession, d: str) -> DataFrame:
+    """id, subject, day, row_ix - one row per order, in time."""
+    o = read_table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    return o.select(admission_id(F.col("o_custkey"), F.col("o_orderkey")).alias("id"), F.col("o_custkey").cast("string").alias("subject"),
+                    F.to_date("o_orderdate").alias("day"), F.col("o_orderkey").alias("row_ix"))
+
+
 def _order_ids(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "orders").select(
         F.col("o_orderkey"),
@@ -67,6 +76,11 @@ def _order_ids(spark: SparkSession, d: str) -> DataFrame:
         split_of(F.col("o_orderkey")).alias("split"))
 
 
+def cohort_splits(spark: SparkSession, d: str) -> DataFrame:
+    """id, split - one row per order."""
+    return _order_ids(spark, d).select("id", "split")
+
+
 def label_rows(spark: SparkSession, d: str) -> DataFrame:
     """id, label, split, row_ix - one row per lineitem; label = returned."""
     li = read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
@@ -158,6 +172,11 @@ def notes(spark: SparkSession, d: str) -> DataFrame:
     return n.select(*_note_columns(), F.col("note_seq").cast("int").alias("note_seq"))
 
 
+def timed_notes(spark: SparkSession, d: str) -> DataFrame:
+    """note_id, subject, day, row_ix - the keys with the day of writing."""
+    return _note_orders(spark, d, ()).select(*_note_columns(), F.to_date("o_orderdate").alias("day")).drop("hadm")
+
+
 def chat_notes(spark: SparkSession, d: str) -> DataFrame:
     """Conversations as notes: subject = conversation, note_seq = turn; row_ix
     holds the conversation in the upper 32 bits, so turns cannot collide."""

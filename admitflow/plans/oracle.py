@@ -8,9 +8,9 @@ driver then checks rows only) and are tested against brute force in pytest.
 
 from __future__ import annotations
 
-from admitflow.plans.catalog import (AFF_BETA, AFF_GAMMA, AFF_MEAN, AFF_VAR, ATTN_B, ATTN_W, BATCH_SIZE,
-                                     FOLD_SEED, K_FOLDS, MISSING_ROWS, NOISE_SEED, NOISE_STD, PROJ_B, PROJ_W, RANGE_PARTS,
-                                     SLICE_INDICES)
+from admitflow.plans.catalog import (AFF_BETA, AFF_GAMMA, AFF_MEAN, AFF_VAR, ATTN_B, ATTN_W, BATCH_SIZE, EPOCHS,
+                                     FOLD_SEED, K_FOLDS, MISSING_ROWS, NOISE_SEED, NOISE_STD, PLANTED_AT, PROJ_B, PROJ_W, RANGE_PARTS,
+                                     SLICE_INDICES, SMALL_AT, SMALL_REG)
 from admitflow.plans.oracle_views import _view, with_views
 
 # ------------------------------------------------------------- extra views
@@ -203,12 +203,25 @@ Q["related_notes_contains"] = with_views("""
 SELECT s.subject, n.note_id
 FROM (SELECT DISTINCT subject FROM notes) s JOIN notes n ON contains(n.note_id, s.subject)""", "notes")
 
+Q["related_notes_automaton"] = Q["related_notes_contains"]
+
 Q["note_gate"] = with_views("""
 SELECT c.id, c.id IN (SELECT note_id FROM notes) AS has_note FROM cohort c""", "cohort", "notes")
 
 Q["note_stats"] = with_views("""
 SELECT dim, round(mean, 6) AS mean, round(std, 6) AS std FROM note_stats""", "note_stats")
 
+Q["note_stats_train"] = with_views("""
+SELECT dim, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std
+FROM note_dense JOIN notes USING (note_id) WHERE row_ix % 10 < 7 GROUP BY dim""", "note_dense", "notes")
+
+Q["merged_scaler"] = with_views("""
+SELECT feature_ix, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, count(*) AS n FROM day_long GROUP BY feature_ix""", "day_long")
+
+Q["keyed_read"] = """
+SELECT CAST(vec_id AS VARCHAR) AS note_id, CAST(len(embedding) AS BIGINT) AS width, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS s1
+FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels WHERE doc_id % 100 = 0)"""
+
 Q["notes_standardised"] = with_views("""
 SELECT note_id, round(sum(value), 6) AS s1, round(sum(value * value), 6) AS s2 FROM note_z GROUP BY note_id""",
                                      "note_z")
@@ -244,14 +257,24 @@ SELECT id, split, CAST(CASE WHEN split = 'test' THEN NULL ELSE label END AS DOUB
        id IN (SELECT note_id FROM notes) AS has_note, branch, pos, r.note_id, round(s1, 5) AS s1, round(chk, 4) AS chk
 FROM cohort JOIN r USING (id)""", "cohort", "sample_days", "sample_notes", "note_z", "notes")
 
+Q["assemble_stored"] = with_views("""
+WITH z AS (SELECT note_id, sum(value) AS s1, sum(value * (dim + 1)) AS chk FROM note_z GROUP BY note_id)
+SELECT id, 'day' AS branch, pos, NULL AS note_id, round(s1, 5) AS s1, round(chk, 4) AS chk FROM sample_days
+UNION ALL
+SELECT n.id, 'note', n.pos, n.note_id, round(z.s1, 5), round(z.chk, 4) FROM sample_notes n JOIN z USING (note_id)""", "sample_days", "sample_notes", "note_z")
+
 _view("train_batches", ["curated"], f"""
 SELECT id, (row_number() OVER (ORDER BY md5(id || '|{FOLD_SEED}'), id) - 1) // {BATCH_SIZE} AS batch_id
 FROM curated WHERE split = 'train'""")
 
+_view("note_sums", ["note_z"], """
+SELECT note_id, sum(value) AS s1, sum(value * (dim + 1)) AS chk FROM note_z GROUP BY note_id""")
+
 _COLLATE = """
 r AS (SELECT b.batch_id, d.id, 'day' AS branch, d.pos, NULL AS note_id, d.s1, d.chk FROM sample_days d JOIN {src} b USING (id)
       UNION ALL
-      SELECT b.batch_id, n.id, 'note', n.pos, n.note_id, 0.0, 0.0 FROM sample_notes n JOIN {src} b USING (id)),
+      SELECT b.batch_id, n.id, 'note', n.pos, n.note_id, coalesce(z.s1, 0.0), coalesce(z.chk, 0.0)
+      FROM sample_notes n JOIN {src} b USING (id) LEFT JOIN note_sums z USING (note_id)),
 len AS (SELECT batch_id, id, branch, max(pos) + 1 AS n FROM r GROUP BY ALL),
 longest AS (SELECT batch_id, branch, max(n) AS m FROM len GROUP BY ALL),
 padded AS (SELECT batch_id, id, branch, CAST(unnest(range(n, m)) AS BIGINT) AS pos FROM len JOIN longest USING (batch_id, branch)),
@@ -259,13 +282,41 @@ out AS (SELECT batch_id, id, branch, pos, note_id, false AS padded, s1, chk FROM
         UNION ALL SELECT batch_id, id, branch, pos, NULL, true, 0.0, 0.0 FROM padded)"""
 Q["collate"] = with_views(f"""
 WITH {_COLLATE.format(src="test_batches")}
-SELECT CAST(batch_id AS BIGINT) AS batch_id, id, branch, pos, note_id, padded, round(s1, 6) AS s1, round(chk, 6) AS chk FROM out""",
-                          "test_batches", "sample_days", "sample_notes")
+SELECT CAST(batch_id AS BIGINT) AS batch_id, id, branch, pos, note_id, padded, round(s1, 5) AS s1, round(chk, 4) AS chk FROM out""",
+                          "test_batches", "sample_days", "sample_notes", "note_sums")
 Q["collate_train"] = with_views(f"""
 WITH {_COLLATE.format(src="train_batches")}
 SELECT CAST(batch_id AS BIGINT) AS batch_id, branch, count(*) AS n_rows, count(*) FILTER (padded) AS n_padded,
-       max(pos) + 1 AS max_len, round(sum(s1), 4) AS s1
-FROM out GROUP BY batch_id, branch""", "train_batches", "sample_days", "sample_notes")
+       max(pos) + 1 AS max_len, round(sum(s1), 3) AS s1
+FROM out GROUP BY batch_id, branch""", "train_batches", "sample_days", "sample_notes", "note_sums")
+Q["batch_store"] = with_views(f"""
+WITH {_COLLATE.format(src="test_batches")}
+SELECT CAST(batch_id AS BIGINT) AS batch_id, count(*) FILTER (branch = 'day') AS day_rows, count(*) FILTER (branch = 'day' AND padded) AS day_padded,
+       round(sum(chk) FILTER (branch = 'day'), 3) AS day_chk, count(*) FILTER (branch = 'note') AS note_rows,
+       count(*) FILTER (branch = 'note' AND padded) AS note_padded, round(sum(chk) FILTER (branch = 'note'), 2) AS note_chk
+FROM out GROUP BY batch_id""", "test_batches", "sample_days", "sample_notes", "note_sums")
+
+_view("admissions", [], """
+SELECT CAST(o_custkey AS VARCHAR) || '_' || CAST(o_orderkey AS VARCHAR) AS id, CAST(o_custkey AS VARCHAR) AS subject,
+       CAST(o_orderdate AS DATE) AS day, o_orderkey AS row_ix FROM orders""")
+
+_view("seen", ["admissions"], """
+SELECT a.id, a.subject, a.day, n.id AS note_id, n.day AS note_day, n.row_ix AS note_ix
+FROM admissions a LEFT JOIN (SELECT * FROM admissions WHERE row_ix IN (SELECT doc_id FROM documents)) n
+  ON n.subject = a.subject AND (n.day < a.day OR n.day = a.day AND n.row_ix <= a.row_ix)""")
+
+Q["as_of_notes"] = with_views("""
+SELECT id, subject, count(note_id) AS n_before, coalesce(max_by(note_id, struct_pack(d := note_day, i := note_ix)), '') AS last_note,
+       coalesce(date_diff('day', max(note_day), day), -1) AS age
+FROM seen GROUP BY id, subject, day""", "seen")
+
+Q["as_of_pool"] = with_views("""
+SELECT id, count(note_id) AS n_before, round(coalesce(sum(s1) / count(note_id), 0.0), 4) AS s1, round(coalesce(sum(chk) / count(note_id), 0.0), 3) AS chk
+FROM seen LEFT JOIN note_sums USING (note_id) GROUP BY id""", "seen", "note_sums")
+
+Q["as_of_rows"] = with_views("""
+SELECT s.id, s.pos, s.note_id FROM sample_notes s JOIN (SELECT id, count(note_id) AS n FROM seen GROUP BY id) USING (id)
+WHERE s.note_id IS NULL OR s.pos < n""", "sample_notes", "seen")
 
 _U = "(CAST(('0x' || substr(md5(concat_ws('|', '{seed}', '{k}', id, day_idx, feature_ix)), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0"
 Q["noise_augment"] = with_views(f"""
@@ -285,6 +336,53 @@ WITH f AS (SELECT label, ntile({K_FOLDS}) OVER (ORDER BY md5(id || '|{FOLD_SEED}
 SELECT CAST(fold AS BIGINT) AS fold, count(*) FILTER (label = 1) AS n_pos, count(*) FILTER (label = 0) AS n_neg, true AS auc_in_range
 FROM f GROUP BY fold""", "curated")
 
+_view("two", ["scaled_long", "curated"], f"""
+SELECT id, CAST(label AS DOUBLE) AS y, x1, x2, ntile({K_FOLDS}) OVER (ORDER BY md5(id || '|{FOLD_SEED}'), id) - 1 AS fold,
+       count(*) OVER () / (2.0 * count(*) OVER (PARTITION BY label)) AS w
+FROM (SELECT id, max(label) AS label, avg(value) FILTER (feature_ix = {SMALL_AT[0]}) AS x1, avg(value) FILTER (feature_ix = {SMALL_AT[1]}) AS x2
+      FROM scaled_long JOIN curated USING (id) WHERE split = 'train' GROUP BY id)""")
+
+# Newton's method for every fold: gradient g and matrix h of the weighted loss, solved by determinants
+_NEWTON = f"""
+WITH RECURSIVE step AS (
+  SELECT f AS fold, 0 AS k, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b, CAST(0 AS DOUBLE) AS c FROM range({K_FOLDS}) t(f)
+  UNION ALL
+  SELECT fold, k + 1, a - (g1 * (h22 * h33 - h23 * h23) - h12 * (g2 * h33 - h23 * g3) + h13 * (g2 * h23 - h22 * g3)) / det,
+         b - (h11 * (g2 * h33 - g3 * h23) - g1 * (h12 * h33 - h23 * h13) + h13 * (h12 * g3 - g2 * h13)) / det,
+         c - (h11 * (h22 * g3 - h23 * g2) - h12 * (h12 * g3 - g2 * h13) + g1 * (h12 * h23 - h22 * h13)) / det
+  FROM (
+    SELECT *, h11 * (h22 * h33 - h23 * h23) - h12 * (h12 * h33 - h23 * h13) + h13 * (h12 * h23 - h22 * h13) AS det FROM (
+      SELECT fold, k, a, b, c, sum(w * (p - y) * x1) / sum(w) + {SMALL_REG} * a AS g1, sum(w * (p - y) * x2) / sum(w) + {SMALL_REG} * b AS g2,
+             sum(w * (p - y)) / sum(w) AS g3, sum(w * p * (1 - p) * x1 * x1) / sum(w) + {SMALL_REG} AS h11,
+             sum(w * p * (1 - p) * x2 * x2) / sum(w) + {SMALL_REG} AS h22, sum(w * p * (1 - p)) / sum(w) AS h33,
+             sum(w * p * (1 - p) * x1 * x2) / sum(w) AS h12, sum(w * p * (1 - p) * x1) / sum(w) AS h13, sum(w * p * (1 - p) * x2) / sum(w) AS h23
+      FROM (SELECT step.*, two.w, two.y, two.x1, two.x2, 1 / (1 + exp(-(a * x1 + b * x2 + c))) AS p
+            FROM step JOIN two ON two.fold <> step.fold WHERE k < 8)
+      GROUP BY fold, k, a, b, c))),
+model AS (SELECT fold, a, b, c FROM step WHERE k = 8)"""
+
+Q["fold_models"] = with_views(f"""{_NEWTON}
+SELECT fold, ix, round(CASE ix WHEN 0 THEN a WHEN 1 THEN b ELSE c END, 6) AS value
+FROM model, (SELECT unnest([0, 1, -1]) AS ix)""", "two")
+
+Q["fold_auc"] = with_views(f"""{_NEWTON},
+own AS (SELECT fold, y, round(a * x1 + b * x2 + c, 8) AS z FROM two JOIN model USING (fold)),
+ranked AS (SELECT fold, y, rank() OVER (PARTITION BY fold ORDER BY z) + (count(*) OVER (PARTITION BY fold, z) - 1) / 2.0 AS r FROM own)
+SELECT fold, round((sum(y * r) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)), 6) AS auc,
+       CAST(sum(y) AS BIGINT) AS n_pos, CAST(sum(1 - y) AS BIGINT) AS n_neg FROM ranked GROUP BY fold""", "two")
+
+Q["fold_probabilities"] = with_views(f"""{_NEWTON}
+SELECT id, round(score, 6) AS score, round(1 / (1 + exp(-score)), 6) AS probability
+FROM (SELECT id, sum(a * x1 + b * x2 + c) / {K_FOLDS} AS score FROM two, model GROUP BY id)""", "two")
+
+Q["planted_selection"] = with_views(f"""
+WITH own AS (
+  SELECT DISTINCT d.id, d.day, c.label + 0.5 * CAST(('0x' || substr(md5(d.id), 1, 4)) AS BIGINT) / 65536.0 AS v,
+         d.id IN (SELECT id FROM curated WHERE split = 'train') AS train
+  FROM day_rows d JOIN (SELECT id, max(label) AS label FROM curated GROUP BY id) c USING (id))
+SELECT id, CAST(day AS VARCHAR) AS day, CAST({PLANTED_AT} AS BIGINT) AS feature_ix,
+       round((v - (SELECT avg(v) FROM own WHERE train)) / (SELECT stddev_pop(v) FROM own WHERE train), 6) AS value FROM own""", "day_rows", "curated")
+
 Q["kfold"] = with_views(f"""
 SELECT id, CAST(ntile({K_FOLDS}) OVER (ORDER BY md5(id || '|{FOLD_SEED}'), id) - 1 AS BIGINT) AS fold_exact,
        CAST(CAST(('0x' || substr(md5(id || '|{FOLD_SEED}'), 1, 8)) AS BIGINT) % {K_FOLDS} AS BIGINT) AS fold_hash
@@ -304,6 +402,28 @@ Q["batches"] = with_views("""
 SELECT id, CAST(batch_id AS BIGINT) AS batch_id, CAST(batch_pos AS BIGINT) AS batch_pos FROM test_batches""",
                           "test_batches")
 
+_NOISE = "CAST(('0x' || substr(md5(concat_ws('|', '{seed}', epoch, {k}, {r})), 1, 12)) AS BIGINT)"
+
+
+def _feistel(x: str) -> str:
+    """Four rounds over (left, right) to the base s."""
+    turn = _NOISE.format(seed=FOLD_SEED, k="k", r="p.r")
+    step = f"struct_pack(l := p.r, r := (p.l + {turn}) % s, k := k + 1)".replace("k + 1", "p.k + 1").replace(", k,", ", p.k,")
+    start = f"struct_pack(l := {x} // s, r := {x} % s, k := CAST(1 AS BIGINT))"
+    done = f"list_reduce([{start}, {start}, {start}, {start}, {start}], lambda p, z: {step})"
+    return f"({done}.l * s + {done}.r)"
+
+
+Q["epoch_batches"] = with_views(f"""
+WITH RECURSIVE ids AS (
+  SELECT id, row_number() OVER (ORDER BY id) - 1 AS ix, count(*) OVER () AS n, CAST(ceil(sqrt(count(*) OVER ())) AS BIGINT) AS s
+  FROM curated WHERE split = 'train'),
+walk AS (
+  SELECT id, n, s, epoch, {_feistel("ix")} AS x FROM ids, range({EPOCHS}) t(epoch)
+  UNION ALL
+  SELECT id, n, s, epoch, {_feistel("x")} FROM walk WHERE x >= n)
+SELECT id, epoch, x AS shuffle_ix, x // {BATCH_SIZE} AS batch_id, x % {BATCH_SIZE} AS batch_pos FROM walk WHERE x < n""", "curated")
+
 Q["padding_masks"] = with_views(f"""
 WITH x AS (
   SELECT b.id, b.batch_id, coalesce(d.n, {MISSING_ROWS}) AS seq_len,
@@ -319,6 +439,11 @@ SELECT id, CAST(batch_id AS BIGINT) AS batch_id, CAST(seq_len AS BIGINT) AS seq_
        CAST(max(note_len) OVER (PARTITION BY batch_id) - note_len AS BIGINT) AS note_n_masked
 FROM x""", "test_batches", "day_rows", "notes", "subject_notes")
 
+Q["padding_masks_compat"] = Q["padding_masks"].replace(
+    "CAST(max(note_len) OVER (PARTITION BY batch_id) - note_len AS BIGINT) AS note_n_masked",
+    "CAST(CASE WHEN id IN (SELECT note_id FROM notes) THEN max(note_len) OVER (PARTITION BY batch_id) - note_len "
+    "ELSE greatest(max(note_len) OVER (PARTITION BY batch_id) - 1024, 0) END AS BIGINT) AS note_n_masked")
+
 Q["focal_loss"] = with_views("""
 WITH w AS (SELECT count(*) / (count(DISTINCT label) * sum(label)) AS alpha FROM scored WHERE split = 'train'),
      l AS (SELECT split, score AS x, label * 0.9 + 0.05 AS y FROM scored),
@@ -327,6 +452,9 @@ SELECT split, round(avg((SELECT alpha FROM w) * pow(1 - exp(-bce), 2) * bce), 6)
        CAST(count(*) AS BIGINT) AS n
 FROM b GROUP BY split""", "scored")
 
+Q["focal_loss_positive"] = Q["focal_loss"].replace("(SELECT alpha FROM w) * pow", "CASE WHEN pos = 1 THEN (SELECT alpha FROM w) ELSE 1.0 END * pow").replace(
+    "SELECT split, score AS x,", "SELECT split, label AS pos, score AS x,").replace("b AS (SELECT split,", "b AS (SELECT split, pos,")
+
 Q["roc_auc"] = with_views("""
 SELECT split, round(CASE WHEN n_pos = 0 OR n_neg = 0 THEN 0.0
                          ELSE (rpos - n_pos * (n_pos + 1) / 2.0) / (n_pos * n_neg) END, 6) AS auc,

@@ -139,6 +139,7 @@ def with_views(sql: str, *names: str) -> str:
         visit(n)
     ctes = ",\n".join(f"{n} AS ({VIEWS[n][1]}\n)" for n in order)
     body = sql.lstrip()
-    if body[:4].upper() == "WITH":
-        return f"WITH {ctes},\n{body[4:].lstrip()}"
+    for head in ("WITH RECURSIVE", "WITH"):
+        if body.upper().startswith(head):
+            return f"{head} {ctes},\n{body[len(head):].lstrip()}"
     return f"WITH {ctes}\n{body}"
