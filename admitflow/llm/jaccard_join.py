@@ -4,10 +4,11 @@ Two documents link when 100 * |x & y| >= 80 * |x | y| over their sets of
 ``n``-word shingles. The steps:
 
 1. One pass gives each document's set size and set hash, and counts shingles
-   that repeat inside a slice of the input. Documents with equal sets are one
-   class from here on. The most frequent shingles (FREQUENT at most) make the
-   order rare-first; the order only has to be the same for all documents, so
-   that bound changes the work and never the result.
+   that repeat inside a task. Documents with equal sets are one class from here
+   on; a class with many rows is sent on by those of its smallest id alone. The
+   most frequent shingles (FREQUENT at most) make the order rare-first; the order
+   only has to be the same for all documents, so that bound, and that on classes
+   with many rows (COPIED), change the work and never the result.
 2. The prefix of a set, its ``|x| - ceil(0.8 |x|) + L(x)`` rarest shingles with
    L(x) = max(1, |x| // 20), is sent to hash buckets. Similar sets share
    min(L(x), L(y)) prefix shingles at least. Entries without a partner of
@@ -15,10 +16,10 @@ Two documents link when 100 * |x & y| >= 80 * |x | y| over their sets of
 3. Pairs of neighbours in a bucket that pass the length and positional filters
    are made unique, pass the suffix filter (parities over 256 hash ranges, a
    lower bound of the symmetric difference) and are verified on whole sets.
-4. Components join what is linked. Only pairs across components are still open:
-   one more round takes some partners each, the last round takes all that pass
-   the filters. A pair is verified once, and none inside a component that is
-   linked already, so a group of near copies does not cost all its pairs.
+4. Components join what is linked, to their end. Only pairs across components are
+   still open: one more round takes some partners each, the last round takes all
+   that pass the filters. A pair is verified once, and none inside a component that
+   is linked already, so the links of a group of near copies grow with its texts.
 
 A hash that more than BLOCK entries hold is dealt out by class, so no task sees
 all its entries: neighbours are taken inside a part, and the last round forms
@@ -47,11 +48,14 @@ from admitflow.session import cut_lineage
 
 NGRAM, PERCENT = 5, 80
 FREQUENT, LEAST_COUNT = 1 << 18, 16      # frequent shingles of the order
+KEPT = 1 << 20                           # shingles that a task counts at a time
+COPIES, COPIED = 16, 1 << 18             # rows from which a class is sent once, and how many such classes
 SLICE_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 2 << 20, 16 << 20, 64
 BLOOM_BITS = 1 << 26                     # a filter before a join; its size is fixed
 SIGNATURE = 4                            # 64-bit words of parities
 PARTNERS, NEAR = 4, 64                   # partners of an entry, and how far they may stand, before the last round
 BLOCK = 4096                             # entries of a hash that meet in one group
+SALTS = 32                               # parts of a token with many entries in joins
 HOT = np.uint32(1 << 31)                 # mark of an entry whose hash is dealt out, beside its position
 
 
@@ -103,21 +107,65 @@ def _slices(batches: Iterator[pa.RecordBatch], n: int):
             yield batch.slice(lo, hi - lo), Sets(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], n)
 
 
+class Counts:
+    """Counts of a task's shingles in bounded memory. When more than KEPT are
+    held, those with the smallest counts go and the others keep theirs: what is
+    frequent in a task stays, whatever the number of its slices."""
+
+    def __init__(self):
+        self.key, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, key: np.ndarray) -> None:
+        key, count = np.unique(key, return_counts=True)
+        merged, at = np.unique(np.concatenate([self.key, key]), return_inverse=True)
+        self.count = np.bincount(at, np.concatenate([self.count, count]), len(merged)).astype(np.int64)
+        self.key, least = merged, 1
+        while len(self.key) > KEPT:
+            self.key, self.count = self.key[self.count > least], self.count[self.count > least]
+            least += 1
+
+
 def _first_pass(rows: DataFrame, n: int) -> DataFrame:
+    """kind 0: id, size and class of each row; kind 1: shingles that repeat in a
+    task, counted once per class of a slice."""
     def run(batches):
+        counts = Counts()
         for part, s in _slices(batches, n):
             yield pa.record_batch({"kind": pa.array(np.zeros(len(s.size), np.int32)), "a": part.column(0),
                                    "b": pa.array(s.size.astype(np.int64)), "c": pa.array(s.cls)})
             keep = np.zeros(len(s.size), dtype=bool)
             keep[s.distinct_rows(1)] = True
-            key, count = np.unique(s.key[keep[s.row]], return_counts=True)
-            key, count = key[count > 1], count[count > 1]
-            yield pa.record_batch({"kind": pa.array(np.ones(len(key), np.int32)), "a": pa.array(key.view(np.int64)),
-                                   "b": pa.array(count.astype(np.int64)), "c": pa.nulls(len(key), pa.int64())})
+            counts.add(s.key[keep[s.row]])
+        key, count = counts.key[counts.count > 1], counts.count[counts.count > 1]
+        yield pa.record_batch({"kind": pa.array(np.ones(len(key), np.int32)), "a": pa.array(key.view(np.int64)),
+                               "b": pa.array(count), "c": pa.nulls(len(key), pa.int64())})
 
     return cut_lineage(rows.mapInArrow(run, "kind int, a long, b long, c long"))
 
 
+def _repeated(info: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of COPIES rows and more (the COPIED with the most rows, at most),
+    sorted, and the smallest id of each: only its rows are sent on."""
+    held = info.filter("doc IS NOT NULL AND n_shingles > 0").groupBy("cls").agg(F.count(F.lit(1)).alias("k"), F.min("doc").alias("doc"))
+    rows = held.filter(F.col("k") >= COPIES).orderBy(F.desc("k"), "cls").limit(COPIED).select("cls", "doc").collect()
+    cls, doc = (np.array([r[c] for r in rows], dtype=np.int64) for c in ("cls", "doc"))
+    order = np.argsort(cls)
+    return cls[order], doc[order]
+
+
+def _sent(s: Sets, doc: pa.Array, least: int, repeated: tuple) -> np.ndarray:
+    """Rows of a slice that stand for their class: one per class, and for a class
+    with many rows only one of its smallest id."""
+    cls, low = repeated
+    known, docs = ~np.asarray(doc.is_null()), doc.fill_null(0).to_numpy()
+    fit = known & (s.size >= least)
+    if len(cls):
+        at = np.minimum(np.searchsorted(cls, s.cls), len(cls) - 1)
+        fit &= (cls[at] != s.cls) | (low[at] == docs)
+    fit = np.flatnonzero(fit)
+    return np.sort(fit[np.unique(s.cls[fit], return_index=True)[1]])
+
+
 def _frequent(first: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     counted = first.filter("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).filter(F.col("n") >= LEAST_COUNT)
     rows = counted.orderBy(F.desc("n"), "a").limit(FREQUENT).collect()
@@ -126,15 +174,15 @@ def _frequent(first: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return key[order], np.array([r["n"] for r in rows], dtype=np.int64)[order]
 
 
-def _prefixes(rows: DataFrame, n: int, percent: int, frequent, buckets: int) -> DataFrame:
+def _prefixes(rows: DataFrame, n: int, percent: int, frequent, repeated, buckets: int) -> DataFrame:
     """Per slice and bucket: prefix shingles with class, size and position."""
-    given, block = rows.sparkSession.sparkContext.broadcast(frequent), BLOCK
+    given, block = rows.sparkSession.sparkContext.broadcast((frequent, repeated)), BLOCK
 
     def run(batches):
-        known, count = given.value
-        for _, s in _slices(batches, n):
+        (known, count), copied = given.value
+        for part, s in _slices(batches, n):
             use = np.zeros(len(s.size), dtype=bool)
-            use[s.distinct_rows(4)] = True  # smaller sets are similar only if equal
+            use[_sent(s, part.column(0), 4, copied)] = True  # smaller sets are similar only if equal
             own = use[s.row]
             row, key = s.row[own], s.key[own]
             often = np.zeros(len(key), dtype=np.int64)
@@ -148,8 +196,8 @@ def _prefixes(rows: DataFrame, n: int, percent: int, frequent, buckets: int) ->
             front = pos < size - -(-percent * size // 100) + extra_prefix(size)
             row, key, pos, size, often = row[front], key[front], pos[front].astype(np.uint32), size[front], often[order][front]
             spread, hot = key.copy(), often > block
-            part = wh.mix(s.cls[row[hot]].view(np.uint64) ^ key[hot]) % (often[hot] // block + 1).astype(np.uint64)
-            spread[hot] = wh.mix(key[hot] + part)
+            dealt = wh.mix(s.cls[row[hot]].view(np.uint64) ^ key[hot]) % (often[hot] // block + 1).astype(np.uint64)
+            spread[hot] = wh.mix(key[hot] + dealt)
             pos[hot] |= HOT
             bucket = ((spread >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
@@ -234,14 +282,15 @@ def _bloom(classes: DataFrame, col: str) -> np.ndarray:
     return out
 
 
-def _sets(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+def _sets(rows: DataFrame, wanted: DataFrame, n: int, repeated) -> DataFrame:
     """``cls, n, members, sig`` of the wanted classes (and few others)."""
-    bloom = rows.sparkSession.sparkContext.broadcast(_bloom(wanted, "cls"))
+    given = rows.sparkSession.sparkContext.broadcast((_bloom(wanted, "cls"), repeated))
 
     def classes(batches):
+        bloom, copied = given.value
         for part, s in _slices(batches, n):
-            at = s.distinct_rows(4)
-            at = at[_in_bloom(bloom.value, s.cls[at])]
+            at = _sent(s, part.column(0), 4, copied)
+            at = at[_in_bloom(bloom, s.cls[at])]
             yield pa.record_batch({"cls": pa.array(s.cls[at]), "members": pa.array(
                 [s.key[s.first[r]:s.first[r + 1]].tobytes() for r in at], pa.binary())})
 
@@ -258,7 +307,7 @@ def _sets(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 pa.array(np.arange(len(sizes) + 1) * SIGNATURE, pa.int32()), pa.array(sig))})
 
     found = rows.mapInArrow(classes, "cls long, members binary")
-    found = found.join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
+    found = found.dropDuplicates(["cls"]).join(wanted, "cls", "left_semi")  # copies of a task go before the exchange
     return cut_lineage(found.mapInArrow(signed, "cls long, n long, members binary, sig array<long>"))
 
 
@@ -359,6 +408,15 @@ def _pairs_of_groups(placed: DataFrame, percent: int, every: bool) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(run, "a long, b long")
 
 
+def _spread(rows: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join of entries with a table about tokens with many (a row for BLOCK
+    entries, at most): its rows are repeated and the entries dealt out over the
+    copies, so a token's entries are no single task."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int"))
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
 def _block_pairs(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Groups of the last round for tokens with many entries: each is a block,
     or two blocks as sides 1 and 2."""
@@ -377,13 +435,12 @@ def _block_pairs(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     differ = F.col("own1").isNull() | F.col("own2").isNull() | (F.col("own1") != F.col("own2"))
     pairs = x.join(y, "token").filter((F.col("block1") <= F.col("block2")) & near & fits & differ)
     pairs = cut_lineage(pairs.select("block1", "block2").withColumn("bucket", F.monotonically_increasing_id()))
-    # groups are bounded by the entries over BLOCK and the sizes of their bands
-    large = F.broadcast(held.filter(much).select("token", "band", F.col("comp"), F.col("comp").alias("own")))
-    rows = placed.join(large, ["token", "band", "comp"], "left")
-    rows = rows.join(F.broadcast(groups.select("token", "band", F.col("own").alias("_own"), "parts")), ["token", "band"]).filter(F.col("own").eqNullSafe(F.col("_own"))).drop("_own")
+    large = held.filter(much).select("token", "band", F.col("comp"), F.col("comp").alias("own"))
+    rows = _spread(placed, large, ["token", "band", "comp"], "left")
+    rows = _spread(rows, groups.select("token", "band", F.col("own").alias("_own"), "parts"), ["token", "band"]).filter(F.col("own").eqNullSafe(F.col("_own"))).drop("_own")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("cls", "token"), F.col("parts")).cast("int"))
     named = blocks.select("token", "band", F.col("own").alias("_own"), "part", "block")
-    rows = rows.join(F.broadcast(named), ["token", "band", "part"]).filter(F.col("own").eqNullSafe(F.col("_own")))
+    rows = _spread(rows, named, ["token", "band", "part"]).filter(F.col("own").eqNullSafe(F.col("_own")))
     rows = rows.select("block", "token", "cls", "n", "pos", "comp").join(sets.select("cls", "sig"), "cls")
     alone = F.col("block1") == F.col("block2")
     first = rows.join(pairs.withColumnRenamed("block1", "block"), "block").withColumn("side", F.when(F.col("block") == F.col("block2"), 0).otherwise(1)).drop("block2")
@@ -406,7 +463,7 @@ def _open_pairs(entries: DataFrame, comps: DataFrame, sets: DataFrame, percent:
     pairs = _pairs_of_groups(placed.withColumn("side", F.lit(0)), percent, every)
     if hot:
         placed, tokens = mixed(2)
-        placed = placed.join(F.broadcast(tokens), "token")  # as many as entries over BLOCK, at most
+        placed = _spread(placed, tokens, ["token"])
         if every:
             placed = _block_pairs(placed.drop("held"), sets, percent)
         else:
@@ -424,20 +481,21 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     buckets = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
     first = _first_pass(rows, ngram)
-    found = _entries(_prefixes(rows, ngram, percent, _frequent(first), buckets), percent)
+    info = first.filter("kind = 0").select(F.col("a").alias("doc"), F.col("b").alias("n_shingles"), F.col("c").alias("cls"))
+    repeated = _repeated(info)
+    found = _entries(_prefixes(rows, ngram, percent, _frequent(first), repeated, buckets), percent)
     entries = found.filter("kind != 1").select("kind", F.col("x").alias("token"), F.col("y").alias("cls"), "n", "pos")
     hot = not found.filter("kind = 2").isEmpty()
-    info = first.filter("kind = 0").select(F.col("a").alias("doc"), F.col("b").alias("n_shingles"), F.col("c").alias("cls"))
     # a partner may be smaller: ceil(0.8 n) shingles at least
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / 20))
     wanted = entries.groupBy("cls").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n")).filter(F.col("k") >= least).select("cls")
-    sets = _sets(rows, wanted, ngram)
+    sets = _sets(rows, wanted, ngram, repeated)
     entries = entries.join(sets.select("cls"), "cls", "left_semi")
     pairs = found.filter("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
     tested = _verify(_suffix_filter(pairs, sets, percent), sets, percent)
     for every in (False, True):
-        # two rounds name most of each component; the rest only costs some pairs
-        comps = components(tested.filter("link"), "a", "b", rounds=2)
+        # whole components: pairs between fragments of one would grow with the square of a group
+        comps = components(tested.filter("link"), "a", "b")
         more = _open_pairs(entries, comps, sets, percent, every, buckets, hot).join(tested, ["a", "b"], "left_anti")
         tested = tested.unionByName(_verify(more, sets, percent))
     links = tested.filter("link").select("a", "b")
