@@ -14,7 +14,7 @@ input; parts and blocks grow with the input up to that bound. All randomness
 comes from hashes of (seed, key), so a task done again gives the same rows.
 
 Edge cases: a null text has no bytes; null ids are a key like any other;
-repeated rows each get a slot of their own; an empty table gives an empty
+repeated rows each get a slot of their own and lie in any part; an empty table gives an empty
 table; extra columns are dropped unless named in ``keep``.
 """
 
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 PART_ROWS, BLOCK_ROWS, MATRIX_CELLS = 1 << 16, 1 << 20, 1 << 24
 LEAST_PARTS, LEAST_BLOCKS = 64, 4  # a small table is dealt out too
+NO_ID = -(1 << 63)  # stands for a null id, beside a flag
 
 
 def draw_matrix(parts: np.ndarray, blocks: np.ndarray, seed: int) -> np.ndarray:
@@ -84,19 +85,21 @@ def assign(keys: DataFrame, shards: int, seed: int = 0) -> DataFrame:
 
 def shuffle_into_shards(docs: DataFrame, shards: int, seed: int = 0, id_col: str = "doc_id",
                         text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col``, ``text_col`` and ``keep`` of every row with ``shard, slot``."""
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"),
-                       *[F.col(c).alias(f"_keep_{c}") for c in keep])
-    rows = rows.withColumn("_id", F.col("_id")).withColumn("_hash", F.xxhash64("_text", *[f"_keep_{c}" for c in keep]))
-    same = Window.partitionBy("_id", "_hash")
-    place = assign(rows.select("_id", "_hash"), shards, seed)
-    copies = Window.partitionBy("_id", "_hash").orderBy("shard", "slot")
-    place = place.withColumn("_copy", F.row_number().over(copies))
-    rows = rows.withColumn("_copy", F.row_number().over(same.orderBy(F.lit(0))))
-    on = rows["_id"].eqNullSafe(place["_id"]) & (rows["_hash"] == place["_hash"]) & (rows["_copy"] == place["_copy"])
-    return rows.join(place, on).select(
-        rows["_id"].alias(id_col), rows["_text"].alias(text_col),
-        *[rows[f"_keep_{c}"].alias(c) for c in keep], "shard", "slot")
+    """``id_col``, ``text_col`` and ``keep`` of every row with ``shard, slot``.
+
+    Equal rows are counted first, inside the tasks, and their text moves once;
+    each of them is a key of its own, by its number among them."""
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.col(id_col).cast("long").isNull().alias("_null"),
+                       F.col(text_col).cast("string").alias("_text"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
+    rows = rows.withColumn("_hash", F.xxhash64("_null", F.col("_text").isNull(), "_text", *[f"_keep_{c}" for c in keep]))
+    counted = rows.groupBy("_id", "_hash").agg(F.count(F.lit(1)).alias("_n"))
+    keys = counted.select("_id", "_hash", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_copy"))
+    place = assign(keys, shards, seed).drop("_copy")
+    row = F.struct("_null", "_text", *[f"_keep_{c}" for c in keep])
+    texts = rows.groupBy("_id", "_hash").agg(F.first(row).alias("_row"))
+    return texts.join(place, ["_id", "_hash"]).select(
+        F.when(~F.col("_row._null"), F.col("_id")).alias(id_col), F.col("_row._text").alias(text_col),
+        *[F.col(f"_row._keep_{c}").alias(c) for c in keep], "shard", "slot")
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
