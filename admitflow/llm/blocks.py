@@ -12,6 +12,7 @@ grow in number and not in size with the input.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,16 +36,40 @@ class Layout:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Layout]:
-    """``block, doc, text`` of every row, and the layout for their size."""
+    """``block, doc, text, copies`` of the distinct rows, and the layout for the
+    size of all. Equal rows of a batch are merged before they are moved, so a row
+    that is repeated very often reaches its block once per batch of 10,000."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     layout = Layout.of(size)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one in merged(pa.table({"doc": batch.column(0), "text": batch.column(1), "copies": pa.array(np.ones(batch.num_rows, np.int64))})).to_batches():
+                yield one
+
     block = F.pmod(F.xxhash64("doc", "text"), F.lit(layout.blocks)).cast("int")
-    return rows.select(block.alias("block"), "doc", "text"), layout
+    return rows.mapInArrow(merge, "doc long, text string, copies long").select(block.alias("block"), "doc", "text", "copies"), layout
+
+
+def merged(table: pa.Table) -> pa.Table:
+    """One row per ``doc, text`` with its ``copies``."""
+    held = table.group_by(["doc", "text"]).aggregate([("copies", "sum")])
+    return held.select(["doc", "text", "copies_sum"]).rename_columns(["doc", "text", "copies"])
 
 
 def in_order(table: pa.Table) -> pa.Table:
-    return table.sort_by([("doc", "ascending"), ("text", "ascending")]).combine_chunks()
+    """The distinct rows of a block, always in the same order."""
+    return merged(table).sort_by([("doc", "ascending"), ("text", "ascending")]).combine_chunks()
+
+
+def repeated(table: pa.Table, copies: np.ndarray, most: int = 10_000) -> pa.Table:
+    """``table`` with a column ``copies`` of ``most`` at the most; rows with more
+    come several times."""
+    parts = -(-copies // most)
+    at = np.repeat(np.arange(len(copies)), parts)
+    nth = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
+    return table.take(pa.array(at)).append_column("copies", pa.array(np.minimum(most, copies[at] - nth * most)))
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:

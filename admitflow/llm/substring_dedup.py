@@ -26,13 +26,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from admitflow.llm import blocks as B
 from admitflow.llm import wordhash as wh
 
 WINDOW = 13
 PERIOD, COVER = 7, (0, 1, 3)  # fixed values: a perfect difference set modulo 7
-RESULT = "doc long, n_words long, n_removed long, kept_text string"
+RESULT = "doc long, n_words long, n_removed long, kept_text string, copies long"
 
 
 class Block:
@@ -41,6 +42,7 @@ class Block:
     def __init__(self, table: pa.Table, window: int):
         table = B.in_order(table)
         self.n, self.window, self.docs = window - PERIOD + 1, window, table.column("doc").combine_chunks()
+        self.copies = table.column("copies").to_numpy()
         w = self.words = wh.split_words(*wh.text_buffers(table.column("text")), wh.SPACED)
         self.hash = wh.hash_words(w)
         ids = self.docs.fill_null(0).to_numpy(zero_copy_only=False)
@@ -91,8 +93,9 @@ class Block:
         np.add.at(cover, gone + self.window, -1)
         removed = np.cumsum(cover)[:-1] > 0
         n_removed = np.bincount(w.row[removed], minlength=len(self.docs))
-        return pa.table({"doc": self.docs, "n_words": pa.array(w.counts(), pa.int64()),
-                         "n_removed": pa.array(n_removed, pa.int64()), "kept_text": wh.join_words(w, ~removed)})
+        found = pa.table({"doc": self.docs, "n_words": pa.array(w.counts(), pa.int64()),
+                          "n_removed": pa.array(n_removed, pa.int64()), "kept_text": wh.join_words(w, ~removed)})
+        return B.repeated(found, self.copies)
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -138,4 +141,5 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     second = (rows.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(windows, B.PARTS)
               .groupBy("bucket").applyInArrow(earlier, B.BITS))
     out = rows.groupBy("block").cogroup(first.unionByName(second).groupBy("block")).applyInArrow(results, RESULT)
-    return out.withColumnRenamed("doc", id_col)
+    every = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))  # repeated rows come back
+    return out.select(F.col("doc").alias(id_col), "n_words", "n_removed", "kept_text", every.alias("_c")).drop("_c")
