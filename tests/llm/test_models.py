@@ -3,28 +3,41 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from admitflow.llm import html_extract, quality, samples, toxicity
+from admitflow.llm import wordhash as wh
 from tests.llm import corpus as C
 
 SF = "/root/testdata/sf0.01"
 
 
+def _bags(texts):
+    data, offsets = wh.text_buffers(pa.array(texts))
+    bag, first = quality.encode(data, offsets)
+    return [bag.take(np.arange(i, j)) for i, j in zip(first[:-1], first[1:], strict=True)]
+
+
+def _words(rng, n):
+    return " ".join(rng.choice(["one", "Two", "three.", "fo-ur", "5ive", "é"]) for _ in range(n))
+
+
 def test_attention_gradient():
-    rng = np.random.default_rng(1)
-    bags = [rng.normal(size=(n, quality.FEATURES)).astype(np.float32) for n in (1, 4, 2, 7)]
-    y = np.array([0.0, 1.0, 1.0, 0.0])
+    rng = random.Random(1)
+    bags = _bags([_words(rng, n) for n in (3, 200, 100, 400)] + [""])
+    y = np.array([0.0, 1.0, 1.0, 0.0, 1.0])
     model = quality.train(bags, y, epochs=1)
-    x, first = np.concatenate(bags).astype(np.float64), np.cumsum([0, 1, 4, 2, 7])
+    model.p.update({k: v.astype(np.float64) for k, v in model.p.items()})
+    whole, first = quality.Bag.joined(bags), np.cumsum([0, *map(len, bags)])
 
     def loss():
-        s = model.forward(x, first)["score"]
+        s = model.forward(whole, first)["score"]
         return -(y * np.log(s) + (1 - y) * np.log(1 - s)).mean()
 
-    for name, g in model.gradient(x, first, y).items():
-        flat, i = model.p[name].reshape(-1), 0
+    for name, g in model.gradient(whole, first, y).items():
+        flat, i = model.p[name].reshape(-1), int(np.abs(g).argmax())
         old = flat[i]
         flat[i] = old + 1e-6
         up = loss()
@@ -34,6 +47,31 @@ def test_attention_gradient():
         assert abs((up - down) / 2e-6 - g.reshape(-1)[i]) < 1e-5
 
 
+def test_bags_are_packed_and_taken():
+    one, two = _bags(["a bc def " * 60, "x"])
+    again = quality.Bag.unpack(one.pack())
+    assert (again.x == one.x).all() and all((a == b).all() for a, b in zip(again.grams + again.ends, one.grams + one.ends, strict=True))
+    both = quality.Bag.joined([one, two]).take(np.array([len(one)]))
+    assert (both.x == two.x).all() and all((a == b).all() for a, b in zip(both.grams, two.grams, strict=True))
+    assert len(two.grams[0]) == 1 and len(two.grams[1]) == 1 and len(two.grams[2]) == 0
+
+
+def test_quality_reads_order_and_content():
+    import duckdb
+
+    texts = [r[0] for r in duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet' JOIN '{SF}/labels.parquet' USING (doc_id) "
+                                      "WHERE quality = 1 AND length(text) > 300 ORDER BY doc_id LIMIT 240").fetchall()]
+    rng = random.Random(2)
+    shuffled = lambda t: " ".join(rng.sample(t.split(), len(t.split())))
+    replaced = lambda t: "".join(rng.choice("bcdfghjklmnpqrstvwxz") if "a" <= c <= "z" else c for c in t)
+    for change in (shuffled, replaced):
+        train = texts[:80] + [change(t) for t in texts[80:160]]
+        model = quality.train(_bags(train), np.repeat([1.0, 0.0], 80))
+        score = lambda x: model.score(quality.Bag.joined(x), np.cumsum([0, *map(len, x)]))
+        held = texts[160:]
+        assert np.mean(score(_bags(held)) > score(_bags([change(t) for t in held]))) > 0.9
+
+
 def test_quality_held_out(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     model = quality.fit(docs, labels, train_on=samples.fold(F.col("id"), 5) != 0)
