@@ -114,8 +114,10 @@ def _note_stats(spark, d) -> tuple[DataFrame, DataFrame]:
 def _note_parts(spark, d) -> tuple[DataFrame, DataFrame]:
     """The standardised notes as a constant vector (``term_ix, base``) and sparse
     rows (``note_id, term_ix, shift``)."""
-    sparse, stats = _note_stats(spark, d)
-    return tx.standardised_parts(sparse, stats)
+    _, sparse, _ = _tfidf(spark, d)
+    sparse = cut_lineage(sparse)  # the statistics and the shifts read it
+    n_docs = fx.note_keys(spark, d).agg(F.count(F.lit(1))).scalar()
+    return tx.standardised_parts(sparse, cut_lineage(tx.sparse_stats(sparse, n_docs, VOCAB_SIZE, ddof=1)))
 
 
 def _constant_sums(base: DataFrame) -> Column:
