@@ -2,8 +2,11 @@
 
 Each round hangs every node's larger neighbours on its smallest one (large
 star), then its smaller neighbours (small star); the rounds end when no link
-moves. Links of a hub are spread by Spark's joins, minima are pre-aggregated,
-and every round is cut off by a checkpoint.
+moves. Minima are pre-aggregated, and every round is cut off by a checkpoint.
+
+Edge cases: links with a null end and links of a node to itself are left out;
+repeated links and both directions of one count once; a node without a link has
+no row; no links give an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -25,7 +25,6 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from admitflow.llm import samples
