@@ -119,7 +119,7 @@ def with_next(rows: DataFrame, key: str, text: str, derive: Callable[[DataFrame]
     nexts = heads.select("_part", F.lag("_head").over(Window.orderBy(F.col("_part").desc())).alias("_next"))
     wrap = heads.agg(F.min_by("_head", "_part")).scalar()
     # derived values are made behind the exchange, which carries the texts alone
-    led = derive(rows.repartition(n, "_part")).withColumn(
+    led = derive(rows.repartitionById(n, "_part")).withColumn(
         "_lead", F.lead(F.struct(*columns)).over(Window.partitionBy("_part").orderBy(key, text)))
     joined = led.join(nexts, "_part").withColumn("_follow", F.coalesce("_lead", "_next", wrap))
     return joined.drop("_part", "_lead", "_next").select(
