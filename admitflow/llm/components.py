@@ -47,3 +47,16 @@ def components(links: DataFrame, a: str, b: str, rounds: int | None = None) -> D
                 break
     both = e.unionByName(e.select(F.col("v").alias("u"), "v"))
     return both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+
+
+def extended(comps: DataFrame, links: DataFrame, a: str, b: str) -> DataFrame:
+    """``comps`` (``node, component``, as of ``components``, also of a work that
+    stopped early) after further ``links``: only the links between names are
+    followed, so this costs what is new and not what is joined already."""
+    name = lambda k: comps.select(F.col("node").alias(k), F.col("component").alias(f"_{k}"))
+    ends = links.select(F.col(a).alias("x"), F.col(b).alias("y")).join(name("x"), "x", "left").join(name("y"), "y", "left")
+    between = ends.select(F.coalesce("_x", "x").alias("p"), F.coalesce("_y", "y").alias("q")).filter("p != q").distinct()
+    above = cut_lineage(components(between, "p", "q"))
+    joined = comps.join(above.select(F.col("node").alias("component"), F.col("component").alias("_up")), "component", "left")
+    new = above.join(comps.select("node"), "node", "left_anti")
+    return joined.select("node", F.coalesce("_up", "component").alias("component")).unionByName(new.select("node", "component"))

@@ -16,9 +16,9 @@ Two documents link when 100 * |x & y| >= 80 * |x | y| over their sets of
 3. Pairs of neighbours in a bucket that pass the length and positional filters
    are made unique, pass the suffix filter (parities over 256 hash ranges, a
    lower bound of the symmetric difference) and are verified on whole sets.
-4. Components join what is linked, to their end. Only pairs across components are
-   still open: one more round takes some partners each, the last round takes all
-   that pass the filters. A pair is verified once, and none inside a component that
+4. Components join what is linked. Only pairs across components are still open:
+   one more round takes some partners each, the last round, after whole
+   components, takes all that pass the filters. A pair is verified once, and none inside a component that
    is linked already, so the links of a group of near copies grow with its texts.
 
 A hash that more than BLOCK entries hold is dealt out by class, so no task sees
@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from admitflow.llm import wordhash as wh
-from admitflow.llm.components import components
+from admitflow.llm.components import components, extended
 from admitflow.session import cut_lineage
 
 NGRAM, PERCENT = 5, 80
@@ -493,16 +493,20 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     entries = entries.join(sets.select("cls"), "cls", "left_semi")
     pairs = found.filter("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
     tested = _verify(_suffix_filter(pairs, sets, percent), sets, percent)
-    for every in (False, True):
-        # whole components: pairs between fragments of one would grow with the square of a group
-        comps = components(tested.filter("link"), "a", "b")
-        more = _open_pairs(entries, comps, sets, percent, every, buckets, hot).join(tested, ["a", "b"], "left_anti")
-        tested = tested.unionByName(_verify(more, sets, percent))
     links = tested.filter("link").select("a", "b")
+    # two rounds name most of each component, which is enough where entries take some partners
+    comps = cut_lineage(components(links, "a", "b", rounds=2))
+    more = _open_pairs(entries, comps, sets, percent, False, buckets, hot).join(tested, ["a", "b"], "left_anti")
+    tested = tested.unionByName(_verify(more, sets, percent))
+    # whole components: all pairs between fragments of one would grow with the square of a group
+    comps = cut_lineage(extended(comps, tested.filter("link"), "a", "b"))
+    more = _open_pairs(entries, comps, sets, percent, True, buckets, hot).join(tested, ["a", "b"], "left_anti")
+    last = _verify(more, sets, percent)
+    links = tested.unionByName(last).filter("link").select("a", "b")
     # rows of one id hold together: link the classes that share one
     shared = info.filter("doc IS NOT NULL AND n_shingles > 0").groupBy("doc").agg(F.min("cls").alias("a"), F.max("cls").alias("b"), F.collect_set("cls").alias("all"))
     shared = shared.filter("a < b").select("a", F.explode("all").alias("b")).filter("a < b")
-    comps = components(links.unionByName(shared), "a", "b")
+    comps = extended(comps, last.filter("link").select("a", "b").unionByName(shared), "a", "b")
     lowest = info.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc").alias("low"))
     named = lowest.join(comps, F.col("cls") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cls"))
     smallest = named.groupBy("component").agg(F.min("low").alias("component_id"))
