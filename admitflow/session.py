@@ -3,6 +3,7 @@ shared checkpoint folder the cluster names in ``spark.checkpoint.dir``."""
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -70,5 +71,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove shuffle files and checkpoints that nothing refers to.
+
+    Its cleaner acts on what the driver's garbage collector finds, and the driver
+    of a job of many short steps hardly ever collects; called between steps, this
+    keeps the disk of executors to what the next steps read.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
