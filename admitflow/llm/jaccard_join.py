@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from admitflow.llm import wordhash as wh
 from admitflow.llm.components import components, extended
-from admitflow.session import cut_lineage
+from admitflow.session import cut_lineage, release
 
 NGRAM, PERCENT = 5, 80
 FREQUENT, LEAST_COUNT = 1 << 18, 16      # frequent shingles of the order
@@ -491,6 +491,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = entries.groupBy("cls").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n")).filter(F.col("k") >= least).select("cls")
     sets = _sets(rows, wanted, ngram, repeated)
     entries = entries.join(sets.select("cls"), "cls", "left_semi")
+    release(rows.sparkSession)  # prefixes and sets are in their checkpoints
     pairs = found.filter("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
     tested = _verify(_suffix_filter(pairs, sets, percent), sets, percent)
     links = tested.filter("link").select("a", "b")
@@ -498,10 +499,13 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     comps = cut_lineage(components(links, "a", "b", rounds=2))
     more = _open_pairs(entries, comps, sets, percent, False, buckets, hot).join(tested, ["a", "b"], "left_anti")
     tested = tested.unionByName(_verify(more, sets, percent))
+    release(rows.sparkSession)
     # whole components: all pairs between fragments of one would grow with the square of a group
     comps = cut_lineage(extended(comps, tested.filter("link"), "a", "b"))
+    release(rows.sparkSession)
     more = _open_pairs(entries, comps, sets, percent, True, buckets, hot).join(tested, ["a", "b"], "left_anti")
     last = _verify(more, sets, percent)
+    release(rows.sparkSession)
     links = tested.unionByName(last).filter("link").select("a", "b")
     # rows of one id hold together: link the classes that share one
     shared = info.filter("doc IS NOT NULL AND n_shingles > 0").groupBy("doc").agg(F.min("cls").alias("a"), F.max("cls").alias("b"), F.collect_set("cls").alias("all"))
