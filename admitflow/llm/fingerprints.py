@@ -98,8 +98,8 @@ def with_next(rows: DataFrame, key: str, text: str, derive: Callable[[DataFrame]
     ``text``); the first row follows the last.
 
     Rows are cut at quantiles of the key into ranges, so the order is local to a
-    range; the first row of every range also serves the last row of the range
-    before. There are as many ranges as shuffle partitions at most.
+    range; the text of the first row of every range is also put behind the last row
+    of the range before. There are as many ranges as shuffle partitions at most.
     """
     n = shuffle_partitions(rows.sparkSession)
     at = [i / n for i in range(1, n)]
@@ -115,15 +115,15 @@ def with_next(rows: DataFrame, key: str, text: str, derive: Callable[[DataFrame]
     rows = rows.withColumn("_part", part.cast("int"))
     lowest = rows.groupBy("_part").agg(F.min(key).alias(key))  # as many rows as ranges
     heads = rows.join(F.broadcast(lowest), ["_part", key]).groupBy("_part").agg(F.min(text).alias(text))
-    heads = derive(heads).select("_part", F.struct(*columns).alias("_head"))
-    nexts = heads.select("_part", F.lag("_head").over(Window.orderBy(F.col("_part").desc())).alias("_next"))
-    wrap = heads.agg(F.min_by("_head", "_part")).scalar()
-    # derived values are made behind the exchange, which carries the texts alone
-    led = derive(rows.repartitionById(n, "_part")).withColumn(
-        "_lead", F.lead(F.struct(*columns)).over(Window.partitionBy("_part").orderBy(key, text)))
-    joined = led.join(nexts, "_part").withColumn("_follow", F.coalesce("_lead", "_next", wrap))
-    return joined.drop("_part", "_lead", "_next").select(
-        *[c for c in led.columns if c not in ("_part", "_lead")], *[F.col(f"_follow.{c}").alias(f"next_{c}") for c in columns])
+    # the head of a range ends the range before it as a row of its own, that of the first range the last one
+    order = Window.orderBy("_part")
+    before = F.coalesce(F.lag("_part").over(order), F.max("_part").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    ends = heads.select(before.alias("_part"), text, F.lit(1).alias("_end"))
+    # derived values are made behind the exchange, which carries the texts alone, once
+    every = rows.withColumn("_end", F.lit(0)).unionByName(ends, allowMissingColumns=True).repartitionById(n, "_part")
+    led = derive(every).withColumn("_follow", F.lead(F.struct(*columns)).over(Window.partitionBy("_part").orderBy("_end", key, text)))
+    kept = [c for c in led.columns if c not in ("_part", "_end", "_follow")]
+    return led.filter("_end = 0").select(*kept, *[F.col(f"_follow.{c}").alias(f"next_{c}") for c in columns])
 
 
 def _longs(values: list[int]) -> Column:
